@@ -1,0 +1,41 @@
+"""Plate quality control: control-based window statistics with named refusals."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _of(role: str) -> Column:
+    return F.when(F.col("role") == role, F.col("value"))
+
+
+def plate_qc(wells: DataFrame) -> DataFrame:
+    """Z', SSMD, signal to background and signal to noise per plate.
+
+    wells: plate, role ('pos', 'neg', 'blank' or 'sample'), value, excluded. Excluded wells
+    and NULL values take no part. A figure whose prerequisite is missing is NULL, and
+    refusal names what is missing: two wells of each control, or any separation.
+    One shuffle on the plate, with map-side partial aggregates.
+    """
+    pos, neg, blank = _of("pos"), _of("neg"), _of("blank")
+    stats = wells.filter(~F.coalesce(F.col("excluded"), F.lit(False))).groupBy("plate").agg(
+        F.count(pos).alias("n_pos"), F.count(neg).alias("n_neg"),
+        F.avg(pos).alias("mean_pos"), F.avg(neg).alias("mean_neg"),
+        F.stddev_samp(pos).alias("sd_pos"), F.stddev_samp(neg).alias("sd_neg"),
+        F.avg(blank).alias("mean_blank"),
+    )
+    gap = F.abs(F.col("mean_pos") - F.col("mean_neg"))
+    enough = (F.col("n_pos") >= 2) & (F.col("n_neg") >= 2)
+    spread = F.col("sd_pos") * F.col("sd_pos") + F.col("sd_neg") * F.col("sd_neg")
+    return stats.select(
+        "plate", "n_pos", "n_neg", "mean_pos", "mean_neg", "sd_pos", "sd_neg",
+        F.when(enough & (gap > 0), 1 - 3 * (F.col("sd_pos") + F.col("sd_neg")) / gap).alias("z_prime"),
+        F.when(enough & (spread > 0), (F.col("mean_pos") - F.col("mean_neg")) / F.sqrt(spread)).alias("ssmd"),
+        F.when(F.col("mean_neg") != 0, F.col("mean_pos") / F.col("mean_neg")).alias("signal_to_background"),
+        F.when(enough & (F.col("sd_neg") > 0), (F.col("mean_pos") - F.col("mean_neg")) / F.col("sd_neg")).alias("signal_to_noise"),
+        F.when(F.col("n_pos") < 2, "fewer than two positive controls")
+        .when(F.col("n_neg") < 2, "fewer than two negative controls")
+        .when(gap == 0, "controls do not separate")
+        .alias("refusal"),
+    )
