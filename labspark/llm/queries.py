@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.llm import op8_quality
+from labspark.llm import op6_jaccard, op8_quality
 from labspark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_jaccard.jaccard_components(table(spark, sf_dir, "documents"), op6_jaccard.JaccardParams(width=4, num=85))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_quality_classifier,)}
+    return {f.__name__: f for f in (op6_ngram_jaccard_join, op8_quality_classifier,)}
 
 
 def oracle_sql() -> dict[str, str]:
