@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labspark.llm import op6_jaccard, op8_quality
+from labspark.llm import op6_jaccard, op7_decontaminate, op8_quality
 from labspark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +17,21 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_jaccard.jaccard_components(table(spark, sf_dir, "documents"), op6_jaccard.JaccardParams(width=4, num=85))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items found in it: ids, and the best similarity."""
+    found = op7_decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.size("leaks").alias("n_items"), F.col("leaks.item_id").alias("item_ids"), F.array_max("leaks.similarity").alias("similarity"),
+        F.col("leaks.first_word").alias("first_words"), (F.size("leaks") > 0).alias("contaminated"),
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join, op8_quality_classifier,)}
+    return {f.__name__: f for f in (op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_quality_classifier,)}
 
 
 def oracle_sql() -> dict[str, str]:
