@@ -170,6 +170,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of docs with a score of one half or more, with their own columns."""
+    if "score" not in docs.columns:
+        return classify(docs, model).filter(F.col("score") >= 0.5).select(*docs.columns)
+    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return classify(packed, model).filter(F.col("score") >= 0.5).select("row.*")
+
+
 def quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs, learnt from the other folds alone.
 

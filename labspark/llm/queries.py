@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import op2_mixing, op6_jaccard, op7_decontaminate, op8_quality
+from labspark.llm import op2_mixing, op3_packing, op6_jaccard, op7_decontaminate, op8_quality
 from labspark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_jaccard.jaccard_components(table(spark, sf_dir, "documents"), op6_jaccard.JaccardParams(width=4, num=85))
 
@@ -35,7 +39,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mixing, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_quality_classifier,)}
+    return {f.__name__: f for f in (op2_source_mixing, op3_token_packing, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_quality_classifier,)}
 
 
 def oracle_sql() -> dict[str, str]:
