@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import op2_mixing, op3_packing, op6_jaccard, op7_decontaminate, op8_quality
+from labspark.llm import op1_chat, op2_mixing, op3_packing, op6_jaccard, op7_decontaminate, op8_quality, op9_token_counts
 from labspark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, whose texts hold the markers themselves."""
+    text = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)
+    return op1_chat.digests(op1_chat.format_conversations(rows.unionByName(own)))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op9_token_counts.prefix_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_token_packing, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_quality_classifier,)}
+    return {f.__name__: f for f in (
+        op1_chat_formatting, op2_source_mixing, op3_token_packing, op6_ngram_jaccard_join, op7_benchmark_decontamination,
+        op8_quality_classifier, op9_prefix_token_counts,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
