@@ -48,7 +48,13 @@ class PrefixCounter:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.parts = {a + b: (a, b) for a, b in merges}
         self.vocab = set(model["vocab"])
-        self.longest = max(map(len, self.vocab))
+        # Longest token by its last two symbols, with and without the end-of-word mark.
+        self.reach: dict[str, dict[str, int]] = {"": {}, self.end: {}}
+        for token in self.vocab:
+            for end, known in self.reach.items():
+                if token.endswith(end):
+                    own = token[: len(token) - len(end)]
+                    known[own[-2:]] = max(known.get(own[-2:], 0), len(own))
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         # Characters up to U+017F are split here, by the classes of the tokenizer's pattern; others by the library.
@@ -56,7 +62,9 @@ class PrefixCounter:
         kind = lambda k: "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == k)
         space = r"\t-\r \x85\xa0"
         letter, number = kind("L"), kind("N")
-        self.word = re.compile(rf"(?:'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+)[{space}]*|[{space}]+")
+        one = rf"(?:'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{space}{letter}{number}]+)"
+        self.bare = re.compile(one)
+        self.word = re.compile(rf"{one}[{space}]*|[{space}]+")
         self.blank = "".join(chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0))
         self.plain = re.compile("[\x00-įı-ſ]*").fullmatch
         self.bytes = self._byte_symbols()
@@ -64,8 +72,9 @@ class PrefixCounter:
         self.lefts: dict[str, list] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.stable_: dict[str, bool] = {}
-        self.prefixes: dict[str, tuple[str, int, int]] = {}
+        self.prefixes: dict[str, tuple[str, int]] = {}
         self.tables: dict[str, bytes] = {}
+        self.totals: dict[str, int] = {}
 
     @staticmethod
     def _byte_symbols() -> list[str]:
@@ -142,33 +151,57 @@ class PrefixCounter:
 
     def _last(self, symbols: str, i: int, end: str, states: list | None) -> tuple[str, int]:
         """(last token, count) of the first i symbols, the last one marked with end."""
-        for n in range(min(i, self.longest), 0, -1):
+        reach = self.reach[end]
+        most = reach.get(symbols[i - 2 : i] if i > 1 else symbols[:1], 1)
+        for n in range(min(i, most), 0, -1):
             token = symbols[i - n : i] + end
             if token in self.vocab and self._stable(token):
                 if n == i:
                     return token, 1
                 before = states[i - n] if states is not None else self.prefixes[symbols[: i - n]]
-                if self._pair(before[0], token):
+                good = self.pairs.get((before[0], token))
+                if good or good is None and self._pair(before[0], token):
                     return token, before[1] + 1
         raise ValueError(f"no token ends {symbols[max(0, i - 20) : i]!r}")
 
-    def word_counts(self, symbols: str) -> list[int]:
-        """Tokens of each prefix of a word's byte symbols, each as a word of its own."""
-        out = []
+    def _states(self, symbols: str) -> list | None:
+        """(last token, count) of each proper prefix as the start of a longer word; None: in the shared table."""
         if len(symbols) <= _LONG:
-            if len(self.prefixes) > _CACHE:
-                self.prefixes.clear()
-            for i in range(1, len(symbols) + 1):
-                state = self.prefixes.get(symbols[:i])
-                if state is None:
-                    state = self.prefixes[symbols[:i]] = (*self._last(symbols, i, "", None), self._last(symbols, i, self.end, None)[1])
-                out.append(state[2])
-            return out
+            prefixes = self.prefixes
+            if len(prefixes) > _CACHE:
+                prefixes.clear()
+            for i in range(1, len(symbols)):
+                if symbols[:i] not in prefixes:
+                    prefixes[symbols[:i]] = self._last(symbols, i, "", None)
+            return None
         states: list = [None]
-        for i in range(1, len(symbols) + 1):
+        for i in range(1, len(symbols)):
             states.append(self._last(symbols, i, "", states))
-            out.append(self._last(symbols, i, self.end, states)[1])
-        return out
+        return states
+
+    def word_counts(self, symbols: str) -> list[int]:
+        """Tokens of each prefix of a word's byte symbols, each as a word of its own."""
+        states = self._states(symbols)
+        return [self._last(symbols, i, self.end, states)[1] for i in range(1, len(symbols) + 1)]
+
+    def total(self, text: str) -> int:
+        """The count of the whole text: the last entries of its words' tables alone."""
+        if not (self.plain(text) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))):
+            table = self.changes(text)
+            return tokens_at(table, len(table))
+        known = self.totals
+        n = 0
+        for word in self.bare.findall(text.lower()):
+            got = known.get(word)
+            if got is None:
+                symbols = self._symbols(word)[0]
+                got = self._last(symbols, len(symbols), self.end, self._states(symbols))[1]
+                if len(word) <= _LONG:
+                    if len(known) > 2 * _CACHE:
+                        known.clear()
+                    known[word] = got
+            n += got
+        return n
 
     def _symbols(self, word: str) -> tuple[str, list[int]]:
         """Byte symbols of a word, and the number of symbols up to the end of each character."""
@@ -251,7 +284,8 @@ def chars_within(changes: bytes, budget: int) -> int:
 def prefix_tokens(docs: DataFrame, path: str, budget: int = 2048, keep_prefixes: bool = False) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit and fits of each row of docs.
 
-    fits is the length in characters of the longest prefix of at most budget tokens. With
+    fits is the length in characters of the longest prefix of at most budget tokens; where all
+    of the text fits, the text's own length, else a place in the normalised text. With
     keep_prefixes, prefixes holds the table: a signed byte a character, in the normalised
     text (where nothing but letter case changes, the text's own characters). Null text:
     empty. Repeated rows each get a row. path is the tokenizer's file, which executors read.
@@ -266,12 +300,15 @@ def prefix_tokens(docs: DataFrame, path: str, budget: int = 2048, keep_prefixes:
             _, offsets = buffers(texts)
             tables, counts, fits = [], [], []
             for text in texts.to_pylist():
-                table = counter.changes(text or "")
-                n = tokens_at(table, len(table))
-                counts.append(n)
-                fits.append(len(table) if n <= budget else chars_within(table, budget))
-                if keep_prefixes:
-                    tables.append(table)
+                text = text or ""
+                counts.append(counter.total(text))
+                if keep_prefixes or counts[-1] > budget:
+                    table = counter.changes(text)
+                    fits.append(chars_within(table, budget))
+                    if keep_prefixes:
+                        tables.append(table)
+                else:
+                    fits.append(len(text))
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(counts, pa.int64()), pa.array([n > budget for n in counts], pa.bool_()), pa.array(fits, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(tables, pa.binary())] * keep_prefixes, names=[f for f, _ in fields])
 
