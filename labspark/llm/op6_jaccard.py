@@ -10,13 +10,13 @@ agree in a block: an equal join on (band, block, parity word) misses no link.
 A doc's blocks without elements would meet everyone's, so they are emitted only where its
 other blocks are too few (D or fewer) to give the guarantee by themselves.
 
-Groups of equal keys are met as a sorted stream. A small group gives its pairs; these must
-pass a bit-parity sketch (an element flips one bit, so the Hamming distance is again at
-most the symmetric difference) before they count as candidate edges. A large group gives a
-star instead of its pairs. Candidate clusters, the components of those edges, are then
-compared exactly: small ones in one go, others in blocks of bounded size whose links leave
-as spanning forests. No step holds an unbounded group or emits all pairs of one, and no
-step drops a candidate.
+Groups of equal keys are met as a sorted stream. Pairs in a group must pass a bit-parity
+sketch (an element flips one bit, so the Hamming distance is again at most the symmetric
+difference) before they count as candidate edges. A small group gives its few pairs; the
+members of a large one meet in blocks of bounded size, which give a spanning forest of the
+pairs that pass. Candidate clusters, the components of those edges, are then compared
+exactly, again in blocks whose links leave as spanning forests. No step holds an unbounded
+group or emits all pairs of one, and no step drops a candidate.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ class JaccardParams:
     num: int = 80
     den: int = 100
     small_group: int = 8
+    sketch_rows: int = 512
     chunk_rows: int = 128
     chunk_shingles: int = 250_000
 
@@ -144,7 +145,7 @@ def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
 
 
 def _group_edges(params: JaccardParams):
-    """Candidate edges from rows (key, node) sorted by both: pairs of small groups, stars of large ones."""
+    """From rows (key, node) sorted by both: the pairs (a, b) of small groups, and of large ones the members, as (key, a)."""
     small = params.small_group
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,29 +176,83 @@ def _group_edges(params: JaccardParams):
 
 
 def _emit(key: np.ndarray, node: np.ndarray, first: np.ndarray, size: np.ndarray, is_big: np.ndarray, small: int) -> Iterator[pa.RecordBatch]:
-    a, b, star = [], [], []
+    a, b = [], []
     for k in range(1, small):
         at = first[(size > k) & ~is_big]
         width = size[(size > k) & ~is_big] - k
         left = np.repeat(at, width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))
-        a.append(node[left]), b.append(node[left + k]), star.append(np.zeros(len(left), bool))
-    at, width = first[is_big], size[is_big] - 1
-    head = np.repeat(at, width)
-    a.append(node[head]), b.append(node[head + 1 + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))]), star.append(np.ones(len(head), bool))
-    a, b, star = np.concatenate(a), np.concatenate(b), np.concatenate(star)
+        a.append(node[left])
+        b.append(node[left + k])
+    a, b = np.concatenate(a), np.concatenate(b)
     if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(star)], names=["a", "b", "star"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["key", "a", "b"])
+    member = np.repeat(is_big, size)
+    if member.any():
+        own = slice(int(first[0]), int(first[0]) + len(member))
+        yield pa.RecordBatch.from_arrays([pa.array(key[own][member]), pa.array(node[own][member]), pa.nulls(int(member.sum()), pa.int64())], names=["key", "a", "b"])
+
+
+def _forest(hit_row, n: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a graph on 0 to n - 1; hit_row(i) tells which j > i are neighbours."""
+    label = np.arange(n)
+    for i in range(n - 1):
+        near = np.flatnonzero(hit_row(i)) + i + 1
+        if len(near):
+            new, first = np.unique(label[near], return_index=True)
+            for other, j in zip(new, near[first], strict=True):
+                if other != label[i]:
+                    label[label == other] = label[i]
+                    yield i, int(j)
+
+
+def _sketch_forest(rows: list[tuple[int, int, bytes]], params: JaccardParams) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of (node, size, sketch) that their sketches don't rule out."""
+    if len(rows) < 2:
+        return
+    width = min(len(r[2]) for r in rows)
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(r[2], np.uint8).reshape(-1, width), axis=0) for r in rows]).view(np.uint64)
+    size = np.array([r[1] for r in rows], dtype=np.int64)
+
+    def near(i: int) -> np.ndarray:
+        far = (size[i] + size[i + 1 :]) * (params.den - params.num) // (params.den + params.num)
+        fits = np.minimum(size[i], size[i + 1 :]) * params.den >= np.maximum(size[i], size[i + 1 :]) * params.num
+        return fits & (np.bitwise_count(bits[i] ^ bits[i + 1 :]).sum(axis=1, dtype=np.int64) <= far)
+
+    for i, j in _forest(near, len(rows)):
+        yield rows[i][0], rows[j][0]
+
+
+def _edges_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def _large_groups(params: JaccardParams):
+    """Candidate edges of large groups; rows come sorted by (key, i, j, node)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in rows:
+            found = []
+            for key, i, j, node, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "n", "sketch")), strict=True):
+                if (key, i, j) != now:
+                    found += _sketch_forest(held, params)
+                    now, held = (key, i, j), []
+                held.append((node, n, sketch))
+            yield _edges_of(found)
+        yield _edges_of(list(_sketch_forest(held, params)))
+
+    return run
 
 
 def _near(params: JaccardParams):
-    """Drops small-group pairs whose sketches prove them too far apart."""
+    """Drops pairs whose sketches prove them too far apart."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep = []
-            for star, na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("star", "na", "nb", "sa", "sb")), strict=True):
+            for na, nb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
                 far = (na + nb) * (params.den - params.num) // (params.den + params.num)
-                keep.append(star or min(na, nb) * params.den >= max(na, nb) * params.num and _hamming(sa, sb) <= far)
+                keep.append(min(na, nb) * params.den >= max(na, nb) * params.num and _hamming(sa, sb) <= far)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -207,27 +262,13 @@ def linked(sets: list[np.ndarray], params: JaccardParams) -> Iterator[tuple[int,
     """A spanning forest of the links among sorted sets, by exact intersection sizes."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    if n <= 6:
 
-    def join(i: int, j: int) -> bool:
-        i, j = root(i), root(j)
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-        return i != j
+        def near(i: int) -> np.ndarray:
+            both = np.array([len(np.intersect1d(sets[i], other, assume_unique=True)) for other in sets[i + 1 :]], dtype=np.int64)
+            return params.den * both >= params.num * (size[i] + size[i + 1 :] - both)
 
-    if n <= 6:
-        for i in range(n):
-            for j in range(i + 1, n):
-                if min(size[i], size[j]) * params.den >= max(size[i], size[j]) * params.num and root(i) != root(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if params.den * both >= params.num * (size[i] + size[j] - both) and join(i, j):
-                        yield i, j
+        yield from _forest(near, n)
         return
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(n), size)
@@ -245,40 +286,39 @@ def linked(sets: list[np.ndarray], params: JaccardParams) -> Iterator[tuple[int,
         dense[row[lo:hi], column[lo:hi] - at] = 1
         both += dense @ dense.T
     both = np.rint(both).astype(np.int64)
-    hit = params.den * both >= params.num * (size[:, None] + size[None, :] - both)
-    for i, j in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
-        if join(int(i), int(j)):
-            yield int(i), int(j)
+    yield from _forest(lambda i: params.den * both[i, i + 1 :] >= params.num * (size[i] + size[i + 1 :] - both[i, i + 1 :]), n)
 
 
 def _verify(params: JaccardParams):
     """Links within each block of a cluster; rows come sorted by (cluster, i, j)."""
 
-    def flush(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-        pairs = [(nodes[i], nodes[j]) for i, j in linked(sets, params)]
-        return [p[0] for p in pairs], [p[1] for p in pairs]
-
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets = None, [], []
         for batch in batches(rows):
-            a, b = [], []
+            found = []
             at = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node")), strict=True)
             for (cluster, i, j, node), own in zip(at, _sets(batch.column("text"), params.width), strict=True):
                 if (cluster, i, j) != now:
-                    more = flush(nodes, sets)
-                    a += more[0]
-                    b += more[1]
+                    found += [(nodes[x], nodes[y]) for x, y in linked(sets, params)]
                     now, nodes, sets = (cluster, i, j), [], []
                 if (not nodes or nodes[-1] != node) and len(own) and digest(own) == node:
                     nodes.append(node)
                     sets.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a, b = flush(nodes, sets)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield _edges_of(found)
+        yield _edges_of([(nodes[x], nodes[y]) for x, y in linked(sets, params)])
 
     return run
 
 
+def _blocks(rows: DataFrame, chunks: str) -> DataFrame:
+    """rows dealt to chunks of their key by node, once for each pair (i, j) of chunks that meets."""
+    return (
+        rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col(chunks)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1)))
+        .withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    )
+
+
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row.
 
@@ -292,18 +332,22 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     there = sets.filter(F.col("node").isNotNull())
     nodes = materialise(there.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "nodes")
     keyed = there.select("node", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
-    edges = keyed.mapInArrow(_group_edges(params), "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    met = materialise(keyed.mapInArrow(_group_edges(params), "key long, a long, b long"), "met")
     side = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
-    near = edges.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").mapInArrow(_near(params), "a long, b long")
+    pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
+    near = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").mapInArrow(_near(params), "a long, b long")
+    large = met.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"))
+    sizes = materialise(large.groupBy("key").agg(F.ceil(F.count("*") / params.sketch_rows).cast("int").alias("chunks")), "sizes")
+    crowd = _blocks(large.join(sizes, "key"), "chunks").select("key", "i", "j", "node").join(nodes.select("node", "n", "sketch"), "node")
+    forests = crowd.repartitionByRange("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_large_groups(params), "a long, b long")
+    near = near.unionByName(forests)
 
     members = materialise(components(near).join(nodes.select("node", "rep", "n"), "node"), "members")
     chunks = F.greatest(F.ceil(F.count("*") / params.chunk_rows), F.ceil(F.sum("n") / params.chunk_shingles)).cast("int")
     shape = materialise(members.groupBy("component").agg(chunks.alias("chunks")), "shape")
     dealt = (
-        members.join(shape, "component")
-        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.col("component").alias("cluster"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", F.col("rep").alias("doc_id"))
+        _blocks(members.join(shape, "component"), "chunks")
+        .select(F.col("component").alias("cluster"), "i", "j", "node", F.col("rep").alias("doc_id"))
     )
     links = (
         docs.select(F.col("doc_id").cast("long"), "text")
