@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import op1_chat, op2_mixing, op3_packing, op6_jaccard, op7_decontaminate, op8_quality, op9_token_counts
+from labspark.llm import op1_chat, op2_mixing, op3_packing, op4_topk, op6_jaccard, op7_decontaminate, op8_quality, op9_token_counts
 from labspark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1, whose texts hold the markers themselves."""
@@ -29,6 +39,11 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every vector whose id is divisible by 50."""
+    return op4_topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_jaccard.jaccard_components(table(spark, sf_dir, "documents"), op6_jaccard.JaccardParams(width=4, num=85))
 
@@ -54,10 +69,10 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_chat_formatting, op2_source_mixing, op3_token_packing, op6_ngram_jaccard_join, op7_benchmark_decontamination,
+        op1_chat_formatting, op2_source_mixing, op3_token_packing, op4_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination,
         op8_quality_classifier, op9_prefix_token_counts,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_top_k": TOP_K_SQL}
