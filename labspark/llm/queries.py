@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.llm import op1_chat, op2_mixing, op3_packing, op4_topk, op6_jaccard, op7_decontaminate, op8_quality, op9_token_counts
+from labspark.llm import op1_chat, op10_licenses, op2_mixing, op3_packing, op4_topk, op5_lines, op6_jaccard, op7_decontaminate, op8_quality, op9_token_counts
 from labspark.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_jaccard.jaccard_components(table(spark, sf_dir, "documents"), op6_jaccard.JaccardParams(width=4, num=85))
 
@@ -67,10 +71,19 @@ def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_token_counts.prefix_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licenses found in it, by place, and how much of each template matched."""
+    found = op10_licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("licenses").alias("n_licenses"), F.col("licenses.license").alias("licenses"), F.col("licenses.coverage").alias("coverage"),
+        F.col("licenses.first_byte").alias("first_bytes"), F.col("licenses.end_byte").alias("end_bytes"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_chat_formatting, op2_source_mixing, op3_token_packing, op4_exact_top_k, op6_ngram_jaccard_join, op7_benchmark_decontamination,
-        op8_quality_classifier, op9_prefix_token_counts,
+        op1_chat_formatting, op2_source_mixing, op3_token_packing, op4_exact_top_k, op5_line_dedup, op6_ngram_jaccard_join, op7_benchmark_decontamination,
+        op8_quality_classifier, op9_prefix_token_counts, op10_license_scan,
     )}
 
 
