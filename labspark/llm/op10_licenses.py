@@ -60,7 +60,7 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def align(template: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(matched words, start, end) of the best fitting alignment of a template within a stretch of text.
+    """(matched words, start, end) of the best fitting alignment of a template within a longer stretch of text.
 
     The stretch is the template's length and a slack; offset d of text over template ranges
     over that slack, which is the band. A match adds 2; a changed, left-out or added word
@@ -68,8 +68,6 @@ def align(template: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     more matches wins, then the earlier end.
     """
     n, slack = len(template), len(text) - len(template)
-    if slack < 0:
-        text, slack = np.concatenate((text, np.zeros(-slack, np.uint64))), 0
     unit = 1 << 20
     d = np.arange(slack + 1)
     best, origin = np.zeros(slack + 1, np.int64), d.copy()
@@ -126,10 +124,14 @@ class LicenseIndex:
         for template, places in starts.items():
             own, spans = self.words[template], []
             for low, high in _runs(sorted(set(places)), self.params.band):
-                a, b = max(0, low - self.params.band), min(len(hashes), high + len(own) + self.params.band)
-                matched, first, end = align(own, hashes[a:b])
+                # The stretch reaches the band's width beyond the place, also past the text's ends.
+                a, b = low - self.params.band, high + len(own) + self.params.band
+                stretch = np.zeros(b - a, np.uint64)
+                inside = slice(max(0, -a), max(0, -a) + min(b, len(hashes)) - max(0, a))
+                stretch[inside] = hashes[max(0, a) : min(b, len(hashes))]
+                matched, first, end = align(own, stretch)
                 if matched >= self.params.coverage * len(own):
-                    spans.append((matched / len(own), a + first, min(a + end, b)))
+                    spans.append((matched / len(own), max(a + first, 0), min(a + end, len(hashes))))
             taken: list[tuple[float, int, int]] = []
             for span in sorted(spans, key=lambda s: s[1:]):
                 if taken and span[1] < taken[-1][2]:
