@@ -43,7 +43,10 @@ TEMPLATES: dict[str, str] = {
 
 @dataclass(frozen=True)
 class LicenseParams:
-    """gram words a gram, window grams a winnowing window; a place counts from coverage on."""
+    """gram words a gram, window grams a winnowing window; a place counts from coverage on.
+
+    band bounds the words left out or added before a place, a fifth of a shorter template's.
+    """
 
     gram: int = 3
     window: int = 4
@@ -123,9 +126,10 @@ class LicenseIndex:
         found = []
         for template, places in starts.items():
             own, spans = self.words[template], []
-            for low, high in _runs(sorted(set(places)), self.params.band):
+            band = min(self.params.band, max(1, len(own) // 5))
+            for low, high in _runs(sorted(set(places)), band):
                 # The stretch reaches the band's width beyond the place, also past the text's ends.
-                a, b = low - self.params.band, high + len(own) + self.params.band
+                a, b = low - band, high + len(own) + band
                 stretch = np.zeros(b - a, np.uint64)
                 inside = slice(max(0, -a), max(0, -a) + min(b, len(hashes)) - max(0, a))
                 stretch[inside] = hashes[max(0, a) : min(b, len(hashes))]
