@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.plans import plate
+from labspark.plans import pharma, plate
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (plate,)
+MODULES = (plate, pharma)
 
 
 def queries() -> dict[str, Query]:
