@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.plans import pharma, plate
+from labspark.plans import biology, pharma, plate
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (plate, pharma)
+MODULES = (plate, pharma, biology)
 
 
 def queries() -> dict[str, Query]:
