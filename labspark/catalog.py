@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.plans import biology, pharma, plate
+from labspark.plans import biology, pharma, plate, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (plate, pharma, biology)
+MODULES = (plate, pharma, biology, sequence)
 
 
 def queries() -> dict[str, Query]:
