@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.plans import biology, catalogs, pharma, plate, sequence
+from labspark.plans import biology, catalogs, kernels, pharma, plate, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (plate, pharma, biology, sequence, catalogs)
+MODULES = (plate, pharma, biology, sequence, catalogs, kernels)
 
 
 def queries() -> dict[str, Query]:
