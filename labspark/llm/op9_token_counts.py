@@ -186,23 +186,49 @@ class PrefixCounter:
 
     def total(self, text: str) -> int:
         """The count of the whole text: the last entries of its words' tables alone."""
-        if not (self.plain(text) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))):
+        if not self._is_plain(text):
             table = self.changes(text)
             return tokens_at(table, len(table))
         known = self.totals
         n = 0
         for word in self.bare.findall(text.lower()):
             got = known.get(word)
-            if got is None:
-                symbols = self._symbols(word)[0]
-                got = self._last(symbols, len(symbols), self.end, self._states(symbols))[1]
-                if len(word) <= _LONG:
-                    if len(known) > 2 * _CACHE:
-                        known.clear()
-                    known[word] = got
-            n += got
+            n += self._word_total(word) if got is None else got
         return n
 
+    def _word_total(self, word: str) -> int:
+        got = self.totals.get(word)
+        if got is None:
+            symbols = self._symbols(word)[0]
+            got = self._last(symbols, len(symbols), self.end, self._states(symbols))[1]
+            if len(word) <= _LONG:
+                if len(self.totals) > 2 * _CACHE:
+                    self.totals.clear()
+                self.totals[word] = got
+        return got
+
+    def fits(self, text: str, budget: int) -> int:
+        """The longest prefix, in characters, of at most budget tokens.
+
+        Counts rise from word to word, so it ends before or in the last word that starts below
+        the budget: totals lead there, and that word's table tells how far it reaches.
+        """
+        if not self._is_plain(text):
+            return chars_within(self.changes(text), budget)
+        n, text = 0, text.lower()
+        for m in self.bare.finditer(text):
+            if n >= budget:
+                return m.start()
+            total = self._word_total(m[0])
+            if n + total > budget:
+                reach = [i for i, c in enumerate(self._table(m[0]), 1) if n + c <= budget]
+                return m.start() + (reach[-1] if reach else 0)
+            n += total
+        return len(text)
+
+    def _is_plain(self, text: str) -> bool:
+        return bool(self.plain(text)) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text))
+
     def _symbols(self, word: str) -> tuple[str, list[int]]:
         """Byte symbols of a word, and the number of symbols up to the end of each character."""
         if word.isascii():
@@ -302,13 +328,9 @@ def prefix_tokens(docs: DataFrame, path: str, budget: int = 2048, keep_prefixes:
             for text in texts.to_pylist():
                 text = text or ""
                 counts.append(counter.total(text))
-                if keep_prefixes or counts[-1] > budget:
-                    table = counter.changes(text)
-                    fits.append(chars_within(table, budget))
-                    if keep_prefixes:
-                        tables.append(table)
-                else:
-                    fits.append(len(text))
+                fits.append(counter.fits(text, budget) if counts[-1] > budget else len(text))
+                if keep_prefixes:
+                    tables.append(counter.changes(text))
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(counts, pa.int64()), pa.array([n > budget for n in counts], pa.bool_()), pa.array(fits, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(tables, pa.binary())] * keep_prefixes, names=[f for f, _ in fields])
 

@@ -40,7 +40,7 @@ def test_every_prefix(counter):
         counts = [library(counter, text[:k]) for k in range(len(text) + 1)]
         assert [tokens_at(table, k) for k in range(len(text) + 1)] == counts
         for budget in (0, 3, 17, 1000):
-            assert chars_within(table, budget) == max(k for k in range(len(text) + 1) if counts[k] <= budget)
+            assert chars_within(table, budget) == counter.fits(text, budget) == max(k for k in range(len(text) + 1) if counts[k] <= budget)
 
 
 def test_query(docs, counter):
