@@ -38,15 +38,25 @@ class LineParams:
     min_tokens: int = 3
 
 
+def _parsed(params: LineParams):
+    """An array with a struct for each line of text: masked, n, leaf, and line (a hash of masked).
+
+    Lines without digits and odd white space, nearly all, are taken as they are.
+    """
+    odd = F.lit(r"[0-9\t\x0B-\r]|  |^ | $")
+    space, field = F.lit(r"[\x20\x09-\x0D]+"), F.lit(r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+")
+    mask = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, space, F.lit(" "))), field, F.lit("<*>"))
+    masked = F.transform(F.split("text", "\n"), lambda x: F.when(F.regexp_like(x, odd), mask(x)).otherwise(x))
+    tokens = lambda m: F.when(m == "", 0).otherwise(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1)
+    counted = F.transform(masked, lambda m: F.struct(m.alias("masked"), tokens(m).alias("n")))
+    lead = lambda s: F.substring_index(s["masked"], " ", params.depth)
+    return F.transform(counted, lambda s: F.struct(s["masked"].alias("masked"), s["n"].alias("n"), F.xxhash64(s["n"], lead(s)).alias("leaf"), F.xxhash64(s["masked"]).alias("line")))
+
+
 def _lines(docs: DataFrame, params: LineParams) -> DataFrame:
-    """doc (a hash of id and text), pos, masked, n, leaf and line (a hash of masked) of each line that counts."""
+    """doc (a hash of id and text), pos, masked, n, leaf and line of each line that counts."""
     doc = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc")
-    lines = docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    clean = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    lines = lines.select("doc", "pos", F.regexp_replace(clean, r"[^ ]*[0-9][^ ]*", "<*>").alias("masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n", n.cast("int")).filter((F.col("n") >= params.min_tokens) & (F.col("masked") != ""))
-    return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", params.depth))).withColumn("line", F.xxhash64("masked"))
+    return docs.select(doc, F.posexplode(_parsed(params)).alias("pos", "l")).select("doc", "pos", "l.*").filter(F.col("n") >= params.min_tokens)
 
 
 def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +66,11 @@ def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple
     once = materialise(slim.select("leaf", "line", "n", "doc").distinct().groupBy("leaf", "line", "n").agg(F.count("*").alias("docs")), "line-counts")
     crowded = materialise(once.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf"), "leaves")
     # Tokens of the different lines of crowded leaves; a hot line is one row a task here.
-    texts = lines.select("leaf", "line", "masked").join(crowded, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
+    # At most 2^20 rows say which hash buckets hold a crowded leaf: few other texts reach the shuffle.
+    bucket = lambda c: F.pmod(c, F.lit(1 << 20)).cast("int").alias("bucket")
+    near = F.broadcast(crowded.select(bucket(F.col("leaf"))).distinct())
+    near_texts = lines.select("leaf", "line", "masked", bucket(F.col("leaf"))).join(near, "bucket", "left_semi")
+    texts = near_texts.join(crowded, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
     tokens = texts.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     tokens = materialise(tokens.select("leaf", "line", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("token") == "<*>").alias("variable")), "tokens")
     weighed = tokens.filter(~F.col("variable")).join(once.select("line", "docs"), "line")
