@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,19 +54,54 @@ def gc3_percent(seq: Column) -> Column:
     return gc_percent(F.array_join(F.transform(codons(seq), lambda c: F.substr(c, F.lit(3), F.lit(1))), ""))
 
 
-def _code_map() -> Column:
-    return F.map_from_arrays(F.array(*(F.lit(c) for c in CODONS)), F.array(*(F.lit(a) for a in CODE)))
+#: Amino acids in the order of codon_index: bases as A, C, T, G.
+_BY_INDEX = [CODE[CODONS.index(a + b + c)] for a in "ACTG" for b in "ACTG" for c in "ACTG"]
+
+
+def codon_index(codon: Column) -> Column:
+    """0 to 63 from the second and third bits of the letters, which tell A, C, T and G apart."""
+    two = lambda k: F.shiftright(F.ascii(F.substr(codon, F.lit(k), F.lit(1))), 1).bitwiseAND(F.lit(3))
+    return two(1) * 16 + two(2) * 4 + two(3)
+
+
+def amino_acid(codon: Column) -> Column:
+    """The amino acid of a codon, * for a stop; NULL with other letters than ACGT."""
+    return F.when((F.length(codon) == 3) & (F.translate(codon, "ACGT", "") == ""), F.get(F.array(*(F.lit(a) for a in _BY_INDEX)), codon_index(codon)))
 
 
 def translate(seq: Column, frame: int = 0) -> Column:
     """Protein of one frame; * is a stop, X a codon with other letters than ACGT."""
-    code = _code_map()
-    return F.array_join(F.transform(codons(seq, frame), lambda c: F.coalesce(F.element_at(code, c), F.lit("X"))), "")
+    return F.array_join(F.transform(codons(seq, frame), lambda c: F.coalesce(amino_acid(c), F.lit("X"))), "")
+
+
+_LETTER = np.full(256, 64, np.uint8)
+_LETTER[[ord(c) for c in "ACTG"]] = range(4)
+_PROTEIN = np.full(64 * 21 + 1, ord("X"), np.uint8)
+for _i, _a in enumerate(_BY_INDEX):
+    _PROTEIN[_i] = ord(_a)
+
+
+def translate_bytes(seq: bytes, frame: int = 0) -> str:
+    """translate for one text: three lookups a codon, over the whole text at once."""
+    own = _LETTER[np.frombuffer(seq, np.uint8)[frame:]]
+    n = len(own) // 3
+    own = own[: 3 * n].reshape(n, 3).astype(np.int64)
+    return _PROTEIN[own @ np.array([16, 4, 1])].tobytes().decode("ascii")
+
+
+def translated(seq: Column, frame: int = 0) -> Column:
+    """translate in Arrow batches, for long texts: the native form costs an interpreted step for each codon."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else translate_bytes(t.encode("ascii", "replace"), frame))
+
+    return run(seq)
 
 
 def six_frames(seq: Column) -> dict[str, Column]:
     back = reverse_complement(seq)
-    return {f"{s}{k + 1}": translate(seq if s == "f" else back, k) for s in "fr" for k in range(3)}
+    return {f"{s}{k + 1}": translated(seq if s == "f" else back, k) for s in "fr" for k in range(3)}
 
 
 def iupac_regex(pattern: str) -> str:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labspark.functions.sequence import amino_acid, codons
+
 
 def column_counts(aligned: DataFrame, group: str) -> DataFrame:
     """n of each (group, column, residue); partial counts shrink the residues before the shuffle."""
@@ -33,17 +35,12 @@ def pssm(aligned: DataFrame, group: str, background: dict[str, float], pseudocou
 
 def codon_usage(sequences: DataFrame) -> DataFrame:
     """n and weight (share of the commonest codon of its amino acid) of each codon over all sequences."""
-    from labspark.functions.sequence import CODE, CODONS, codons
-
-    code = F.map_from_arrays(F.array(*(F.lit(c) for c in CODONS)), F.array(*(F.lit(a) for a in CODE)))
-    counts = sequences.select(F.explode(codons(F.col("seq"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).withColumn("aa", F.element_at(code, F.col("codon"))).filter("aa IS NOT NULL")
+    counts = sequences.select(F.explode(codons(F.col("seq"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).withColumn("aa", amino_acid(F.col("codon"))).filter("aa IS NOT NULL")
     return counts.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy("aa")))
 
 
 def cai(sequences: DataFrame, usage: DataFrame, key: str) -> DataFrame:
     """Codon adaptation index: the geometric mean of weights, without M, W and stops; usage has 64 rows at most."""
-    from labspark.functions.sequence import codons
-
     weights = usage.filter("aa NOT IN ('M', 'W', '*') AND weight > 0").select("codon", F.ln("weight").alias("log_weight"))
     rows = sequences.select(key, F.explode(codons(F.col("seq"))).alias("codon")).groupBy(key, "codon").agg(F.count("*").alias("n"))
     found = rows.join(F.broadcast(weights), "codon")

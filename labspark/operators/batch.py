@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from labspark.kernels import align as align_kernel
 from labspark.kernels import chem, fit, network
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to two tasks a core (by keys, where given), so that heavy rows of a small table don't meet in one task."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 PROPS = "canonical string, formula string, mol_weight double, mono_mass double, heavy_atoms int, hbd int, hba int, rotatable int, rings int, aromatic_atoms int, charge int, fsp3 double, tpsa double, fingerprint array<long>, groups array<string>, error string"
 
 
@@ -36,7 +41,7 @@ def smiles_props(df: DataFrame, column: str = "smiles") -> DataFrame:
                 rows.append({"error": str(e)})
         return pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
 
-    return df.withColumn("props", props(F.col(column)))
+    return spread(df).withColumn("props", props(F.col(column)))
 
 
 def smarts_hits(df: DataFrame, patterns: dict[str, str], column: str = "smiles") -> DataFrame:
@@ -56,7 +61,7 @@ def smarts_hits(df: DataFrame, patterns: dict[str, str], column: str = "smiles")
                 out.append(None)
         return pd.Series(out)
 
-    return df.withColumn("hits", count(F.col(column)))
+    return spread(df).withColumn("hits", count(F.col(column)))
 
 
 def align_pairs(df: DataFrame, a: str, b: str, local: bool = False) -> DataFrame:
@@ -83,29 +88,28 @@ def fit_curves(points: DataFrame, key: str, model: str, x: str = "conc", y: str
             "ssr": got.ssr if got.ok else None, "aicc": got.aicc if got.ok and math.isfinite(got.aicc) else None, "n": got.n, "refusal": got.refusal or None,
         }])
 
-    return points.select(key, x, y).groupBy(key).applyInPandas(one, f"{key} {kind}, names array<string>, params array<double>, errors array<double>, ssr double, aicc double, n int, refusal string")
+    return spread(points.select(key, x, y), key).groupBy(key).applyInPandas(one, f"{key} {kind}, names array<string>, params array<double>, errors array<double>, ssr double, aicc double, n int, refusal string")
 
 
 def b_score(wells: DataFrame) -> DataFrame:
     """plate, row, col, value and b_score: median polish of each plate (at most 200 sweeps), over its scaled MAD."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        grid = rows.pivot_table(index="row", columns="col", values="value", aggfunc="first").to_numpy(float)
-        left = grid - np.nanmedian(grid)
+        (_, r), (_, c) = (np.unique(rows[k].to_numpy(), return_inverse=True) for k in ("row", "col"))
+        left = np.full((r.max() + 1, c.max() + 1), np.nan)
+        left[r, c] = rows["value"].to_numpy(float)
         for _ in range(200):
-            r = np.nanmedian(left, axis=1, keepdims=True)
-            left = left - r
-            c = np.nanmedian(left, axis=0, keepdims=True)
-            left = left - c
-            if max(np.nanmax(np.abs(r)), np.nanmax(np.abs(c))) < 1e-12:
+            across = np.nanmedian(left, axis=1, keepdims=True)
+            left -= across
+            down = np.nanmedian(left, axis=0, keepdims=True)
+            left -= down
+            if max(np.abs(across).max(), np.abs(down).max()) < 1e-12:
                 break
         mad = 1.4826022185056018 * np.nanmedian(np.abs(left - np.nanmedian(left)))
-        at = {(r, c): left[i, j] for i, r in enumerate(sorted(rows["row"].unique())) for j, c in enumerate(sorted(rows["col"].unique()))}
-        score = [at[r, c] / mad if mad > 0 else None for r, c in zip(rows["row"], rows["col"], strict=True)]
-        return rows[["plate", "row", "col", "value"]].assign(b_score=pd.Series(score, index=rows.index, dtype="float64"))
+        return pd.DataFrame({k: rows[k] for k in ("plate", "row", "col", "value")} | {"b_score": left[r, c] / mad if mad > 0 else np.nan})
 
     kind = wells.schema["plate"].dataType.simpleString()
-    return wells.select("plate", "row", "col", "value").groupBy("plate").applyInPandas(one, f"plate {kind}, row int, col int, value double, b_score double")
+    return spread(wells.select("plate", "row", "col", "value"), "plate").groupBy("plate").applyInPandas(one, f"plate {kind}, row int, col int, value double, b_score double")
 
 
 def ssa_ensemble(spark, net: network.Network, t_end: float, replicates: int, seed: int) -> DataFrame:
@@ -120,7 +124,7 @@ def ssa_ensemble(spark, net: network.Network, t_end: float, replicates: int, see
                 rows += [(int(r), s, float(v)) for s, v in zip(names, end, strict=True)]
             yield pd.DataFrame(rows, columns=["replicate", "species", "count"])
 
-    return spark.range(replicates).repartition(8).mapInPandas(run, "replicate long, species string, count double")
+    return spread(spark.range(replicates)).mapInPandas(run, "replicate long, species string, count double")
 
 
 def parameter_sweep(df: DataFrame, net: network.Network, reaction: int, parameter: str, value: str, t_end: float) -> DataFrame:
@@ -145,8 +149,8 @@ def flux_variability(spark, s: np.ndarray, objective: np.ndarray, low: np.ndarra
     def run(index: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([network.flux_variability(s, objective, low, high, int(i)) for i in index], columns=["least", "greatest"])
 
-    rows = spark.createDataFrame(list(enumerate(names)), "i int, reaction string").repartition(8)
-    return rows.withColumn("r", run("i")).select("reaction", "r.least", "r.greatest")
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, reaction string")
+    return spread(rows).withColumn("r", run("i")).select("reaction", "r.least", "r.greatest")
 
 
 def pk_profiles(df: DataFrame, times: list[float]) -> DataFrame:
@@ -160,7 +164,7 @@ def pk_profiles(df: DataFrame, times: list[float]) -> DataFrame:
                 parts.append(pd.DataFrame({"subject": r.subject, "t": times, "c": c}))
             yield pd.concat(parts) if parts else pd.DataFrame({"subject": [], "t": [], "c": []})
 
-    return df.select("subject", "dose", "v", "cl", "ka").mapInPandas(run, "subject long, t double, c double")
+    return spread(df.select("subject", "dose", "v", "cl", "ka")).mapInPandas(run, "subject long, t double, c double")
 
 
 def leader_clusters(df: DataFrame, group: str, seq: str, order: str, identity: float = 0.8) -> DataFrame:

@@ -31,26 +31,31 @@ def _digest(s, d):
 
 def _frames(s, d):
     rows = sequences(s, d)
-    frames = seq.six_frames(F.col("seq"))
-    return rows.select("doc_id", *(F.md5(F.encode(v, "utf-8")).alias(k) for k, v in frames.items()), (F.length(frames["f1"]) - F.length(F.replace(frames["f1"], F.lit("*"), F.lit("")))).alias("stops"))
+    rows = rows.select("doc_id", *(v.alias(k) for k, v in seq.six_frames(F.col("seq")).items()))
+    return rows.select("doc_id", *(F.md5(F.encode(c, "utf-8")).alias(c) for c in rows.columns[1:]), (F.length("f1") - F.length(F.replace("f1", F.lit("*"), F.lit("")))).alias("stops"))
 
 
 def _motifs(s, d):
-    protein = seq.translate(F.col("seq"))
-    rows = sequences(s, d).select("doc_id", protein.alias("protein"))
+    rows = sequences(s, d).select("doc_id", seq.translated(F.col("seq")).alias("protein"))
     count = lambda p: F.size(F.regexp_extract_all("protein", F.lit(p), 0))
     return rows.select("doc_id", count("N[^P][ST]").alias("glycosylation"), count("N[GS]").alias("deamidation"), count("D[GP]").alias("cleavage"), count("[MW]").alias("oxidation"))
 
 
 def _protein(s, d):
-    rows = sequences(s, d).select("doc_id", F.replace(seq.translate(F.col("seq")), F.lit("*"), F.lit("")).alias("p")).filter("length(p) > 0")
-    n = {a: F.length("p") - F.length(F.replace("p", F.lit(a), F.lit(""))) for a in "KRHDECY"}
-    rows = rows.withColumns({f"n_{a}": c for a, c in n.items()})
+    rows = sequences(s, d).select("doc_id", F.replace(seq.translated(F.col("seq")), F.lit("*"), F.lit("")).alias("p")).filter("length(p) > 0")
     got = rows.select(
         "doc_id", seq.gravy(F.col("p")).alias("gravy"), seq.extinction_280(F.col("p")).alias("extinction"), seq.aliphatic_index(F.col("p")).alias("aliphatic"),
-        seq.net_charge(F.col("p"), F.lit(7.0)).alias("charge"), seq.isoelectric_point({a: F.col(f"n_{a}") for a in "KRHDECY"}).alias("pi"),
+        seq.net_charge(F.col("p"), F.lit(7.0)).alias("charge"),
     )
-    return rounded(got, "gravy", "aliphatic", "charge", "pi")
+    return rounded(rounded(got, "gravy", "aliphatic", places=9), "charge")
+
+
+def _points_of_charge(s, d):
+    """Isoelectric points; the charge falls with pH, so the bracket always closes on the same point."""
+    rows = sequences(s, d).select("doc_id", seq.translated(F.col("seq")).alias("p"))
+    n = {a: F.length("p") - F.length(F.replace("p", F.lit(a), F.lit(""))) for a in "KRHDECY"}
+    rows = rows.select("doc_id", *(c.alias(f"n_{a}") for a, c in n.items()))
+    return rounded(rows.select("doc_id", seq.isoelectric_point({a: F.col(f"n_{a}") for a in "KRHDECY"}).alias("pi")), "pi")
 
 
 QUERIES = {
@@ -63,6 +68,7 @@ QUERIES = {
     "digest_fragments": _digest,
     "motif_scan": _motifs,
     "protein_properties": _protein,
+    "isoelectric_points": _points_of_charge,
     "homopolymer": lambda s, d: sequences(s, d).select("doc_id", seq.longest_run(F.col("seq")).alias("longest_run")),
     "column_entropy": lambda s, d: rounded(cols.column_entropy(_aligned(s, d), "lang"), "entropy"),
     "pssm": lambda s, d: rounded(cols.pssm(_aligned(s, d), "lang", BACKGROUND), "score"),
@@ -111,6 +117,11 @@ f AS (SELECT doc_id, n, list_transform(parts, lambda x, i: x + CASE WHEN i > 1 T
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(len(f) AS INTEGER) AS n_fragments, CAST(list_max(f) AS INTEGER) AS longest, CAST(list_min(f) AS INTEGER) AS shortest, CAST(list_sum(f) AS INTEGER) AS total FROM f""",
     "motif_scan": f"""WITH {SEQS}, t AS (SELECT doc_id, {_translate('seq')} AS p FROM seqs)
 SELECT doc_id, CAST(len(regexp_extract_all(p, 'N[^P][ST]')) AS INTEGER) AS glycosylation, CAST(len(regexp_extract_all(p, 'N[GS]')) AS INTEGER) AS deamidation, CAST(len(regexp_extract_all(p, 'D[GP]')) AS INTEGER) AS cleavage, CAST(len(regexp_extract_all(p, '[MW]')) AS INTEGER) AS oxidation FROM t""",
+    "protein_properties": f"""WITH {SEQS}, t AS (SELECT doc_id, replace({_translate('seq')}, '*', '') AS p FROM seqs),
+c AS (SELECT doc_id, p, {', '.join(f"{_n(a)} AS n{a}" for a in seq.HYDROPATHY)} FROM t WHERE length(p) > 0)
+SELECT doc_id, round(({' + '.join(f"{v}::DOUBLE * n{a}" for a, v in seq.HYDROPATHY.items())}) / nullif({' + '.join(f"n{a}" for a in seq.HYDROPATHY)}, 0), 9) + 0.0::DOUBLE AS gravy,
+  5500 * nW + 1490 * nY + 125 * (nC // 2) AS extinction, round(100.0::DOUBLE * (nA + 2.9::DOUBLE * nV + 3.9::DOUBLE * (nI + nL)) / length(p), 9) AS aliphatic,
+  round({_charge('7.0::DOUBLE')}, 6) + 0.0::DOUBLE AS charge FROM c""",
     "homopolymer": f"WITH {SEQS} SELECT doc_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda x: length(x))), 0) AS INTEGER) AS longest_run FROM seqs",
     "column_entropy": f"WITH {SEQS}, {_ALIGNED}, t AS (SELECT *, sum(n) OVER (PARTITION BY lang, col) AS depth FROM counts) SELECT lang, CAST(col AS INTEGER) AS \"column\", CAST(depth AS BIGINT) AS depth, round(-sum(n / CAST(depth AS DOUBLE) * log2(n / CAST(depth AS DOUBLE))), 6) + 0.0::DOUBLE AS entropy FROM t GROUP BY lang, col, depth",
     "pssm": f"""WITH {SEQS}, {_ALIGNED}, d AS (SELECT lang, col, sum(n) AS depth FROM counts GROUP BY ALL), bg(residue, e) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in BACKGROUND.items())})
