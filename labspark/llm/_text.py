@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -137,3 +139,13 @@ def batches(rows: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa
         step = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as text and row, a struct of all other columns, so that no name of theirs can clash."""
+    return docs.select("text", F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that packed put away, in the order given."""
+    return df.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))

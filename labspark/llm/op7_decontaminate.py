@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labspark.llm._text import batches, mix, shingles, words
+from labspark.llm._text import batches, mix, packed, shingles, unpacked, words
 
 BITS, BLOCKS, BLOCK_RADIUS = 128, 16, 2
 #: Windows within this many bits of an item are guaranteed to be found: BLOCKS * (BLOCK_RADIUS + 1) - 1 at most.
@@ -183,7 +183,4 @@ def _pass(docs: DataFrame, index: LeakIndex) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """The rows of docs in which no benchmark item was found, with their own columns."""
-    if "leaks" not in docs.columns:
-        return leaks(docs, benchmark, params).filter(F.size("leaks") == 0).select(*docs.columns)
-    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return leaks(packed, benchmark, params).filter(F.size("leaks") == 0).select("row.*")
+    return unpacked(leaks(packed(docs), benchmark, params).filter(F.size("leaks") == 0), docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm._text import batches, buffers, shingles, words
+from labspark.llm._text import batches, buffers, packed, shingles, unpacked, words
 
 
 @dataclass(frozen=True)
@@ -172,10 +172,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def accepted(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of docs with a score of one half or more, with their own columns."""
-    if "score" not in docs.columns:
-        return classify(docs, model).filter(F.col("score") >= 0.5).select(*docs.columns)
-    packed = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return classify(packed, model).filter(F.col("score") >= 0.5).select("row.*")
+    return unpacked(classify(packed(docs), model).filter(F.col("score") >= 0.5), docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
