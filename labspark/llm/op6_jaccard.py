@@ -10,7 +10,8 @@ agree in a block: an equal join on (band, block, parity word) misses no link.
 A doc's blocks without elements would meet everyone's, so they are emitted only where its
 other blocks are too few (D or fewer) to give the guarantee by themselves.
 
-Groups of equal keys are met as a sorted stream. Pairs in a group must pass a bit-parity
+Rows are dealt by ranges of key and set, so that a hot key spreads over tasks, and groups of
+equal keys are met as a sorted stream. Pairs in a group must pass a bit-parity
 sketch (an element flips one bit, so the Hamming distance is again at most the symmetric
 difference) before they count as candidate edges. A small group gives its few pairs; the
 members of a large one meet in blocks of bounded size, which give a spanning forest of the
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm._text import batches, mix, shingles, words
+from labspark.llm._text import batches, mix, packed, shingles, unpacked, words
 from labspark.operators.components import components
 from labspark.session import materialise
 
@@ -145,11 +146,14 @@ def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
 
 
 def _group_edges(params: JaccardParams):
-    """From rows (key, node) sorted by both: the pairs (a, b) of small groups, and of large ones the members, as (key, a)."""
+    """From rows (key, node) sorted by both: the pairs (a, b) of small groups, and of large ones the members, as (key, a).
+
+    The first and the last group of a task may go on in its neighbours, so they count as large.
+    """
     small = params.small_group
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, big = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        key, node, big = np.zeros(0, np.int64), np.zeros(0, np.int64), True
         for batch in rows:
             key = np.concatenate((key, batch.column("key").to_numpy(zero_copy_only=False)))
             node = np.concatenate((node, batch.column("node").to_numpy(zero_copy_only=False)))
@@ -159,18 +163,17 @@ def _group_edges(params: JaccardParams):
                 continue
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.concatenate((first, [len(key)])))
-            # The last group may go on in the next batch: a small one waits, a large one leaves its head.
             is_big = size > small
             is_big[0] |= big
-            rest = int(first[-1])
+            # The last group may go on in the next batch: a small one waits, a large one leaves its last member.
             if len(first) > 1 or is_big[-1]:
                 done = slice(0, len(first) if is_big[-1] else len(first) - 1)
                 yield from _emit(key, node, first[done], size[done], is_big[done], small)
             big = bool(is_big[-1])
-            stop = rest + 1 if big else len(key)
-            key, node = key[rest:stop], node[rest:stop]
-        if len(key) > 1:
-            yield from _emit(key, node, np.array([0]), np.array([len(key)]), np.array([False]), small)
+            rest = len(key) - 1 if big else int(first[-1])
+            key, node = key[rest:], node[rest:]
+        if len(key):
+            yield from _emit(key, node, np.array([0]), np.array([len(key)]), np.array([True]), small)
 
     return run
 
@@ -331,12 +334,12 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     small = sets.select("doc_id", "n_shingles", "node")
     there = sets.filter(F.col("node").isNotNull())
     nodes = materialise(there.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "nodes")
-    keyed = there.select("node", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
+    keyed = there.select("node", F.explode("keys").alias("key")).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     met = materialise(keyed.mapInArrow(_group_edges(params), "key long, a long, b long"), "met")
     side = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
     pairs = met.filter(F.col("key").isNull()).select("a", "b").distinct()
     near = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b").mapInArrow(_near(params), "a long, b long")
-    large = met.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"))
+    large = met.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node")).distinct()
     sizes = materialise(large.groupBy("key").agg(F.ceil(F.count("*") / params.sketch_rows).cast("int").alias("chunks")), "sizes")
     crowd = _blocks(large.join(sizes, "key"), "chunks").select("key", "i", "j", "node").join(nodes.select("node", "n", "sketch"), "node")
     forests = crowd.repartitionByRange("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_large_groups(params), "a long, b long")
@@ -377,5 +380,7 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     """
     found = jaccard_components(docs.filter(F.col("doc_id").isNotNull()), params)
     kept = materialise(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    once = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rows = packed(docs)
+    once = rows.join(kept, rows["row.doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    first = once.groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by(F.struct("text", "row"), F.xxhash64("text", "row")).alias("first")).select("first.*")
+    return unpacked(first.unionByName(rows.filter(F.col("row.doc_id").isNull())), docs.columns)
