@@ -7,7 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from labspark.functions import sequence as seq
-from labspark.operators import assay, design, protein
+from labspark.operators import assay, biologics, design, protein, similarity
+from labspark.plans.biology import ORACLES as _BIOLOGY
+from labspark.plans.biology import _fingerprints
 from labspark.plans.views import CONC, POINTS, concentrations, points, rounded, sequences, wells
 from labspark.tables import table
 
@@ -61,7 +63,29 @@ def _p_values(s, d):
     return rounded(got, "edge_p", "column_p")
 
 
+def _bonds(s, d):
+    atoms = points(s, d).select("atom", *((F.col(k) * 8).alias(k) for k in "xyz"), F.lit(0.5).alias("covalent"))
+    return rounded(biologics.inferred_bonds(atoms), "distance")
+
+
+def _peptides(s, d):
+    names = table(s, d, "nation").select("n_nationkey", F.regexp_replace(F.upper("n_name"), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("p"))
+    return names.withColumn("p", F.when(F.col("n_nationkey") % 2 == 0, F.concat("p", F.lit("K"))).otherwise(F.col("p")))
+
+
+def _scorecard(s, d):
+    """Customers like the first customer of each nation, scheduled by their ids."""
+    prints = _fingerprints(s, d)
+    first = table(s, d, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("id")).select("id")
+    hits = similarity.tanimoto_top_k(prints.join(first, "id", "left_semi"), prints).withColumn("schedule", F.concat(F.lit("Schedule "), F.repeat(F.lit("I"), (F.col("id") % 3 + 1).cast("int"))))
+    return rounded(biologics.scorecard(hits), "similarity")
+
+
 QUERIES = {
+    "inferred_bonds": _bonds,
+    "mass_ladder": lambda s, d: rounded(biologics.mass_ladder(_peptides(s, d), "n_nationkey", "p"), "mass", places=4),
+    "scorecard": _scorecard,
+    "developability": lambda s, d: rounded(biologics.developability(_peptides(s, d).filter("length(p) > 0"), "n_nationkey", "p"), "gravy", "aliphatic", "charge", "pi"),
     "digest_peptides": _digest,
     "oligo_thermo": _oligos,
     "residue_pairs": _residues,
@@ -79,7 +103,13 @@ _NN = lambda k: " + ".join(f"{v[k]}::DOUBLE * len(list_filter(pairs, lambda x: x
 _END = lambda k: " + ".join(f"CASE WHEN {e} IN ('G', 'C') THEN {protein.END_GC[k]}::DOUBLE ELSE {protein.END_AT[k]}::DOUBLE END" for e in ("o[1]", "o[-1]"))
 _AT = "20::DOUBLE * "
 _SPHERE = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(protein.sphere()))
-ORACLES = {
+ORACLES: dict[str, str] = {
+    "inferred_bonds": f"""WITH {POINTS}, a AS (SELECT atom, 8 * x AS x, 8 * y AS y, 8 * z AS z FROM points), p AS (SELECT a.atom AS atom_1, b.atom AS atom_2, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS distance FROM a JOIN a b ON a.atom < b.atom)
+SELECT atom_1, atom_2, round(distance, 6) AS distance FROM p WHERE distance <= 1.45::DOUBLE AND distance > 0.4::DOUBLE""",
+    "mass_ladder": f"""WITH p AS (SELECT n_nationkey, regexp_replace(upper(n_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') || CASE WHEN n_nationkey % 2 = 0 THEN 'K' ELSE '' END AS p FROM nation),
+b AS (SELECT *, {protein.WATER}::DOUBLE + {' + '.join(f"{m}::DOUBLE * (length(p) - length(replace(p, '{a}', '')))" for a, m in protein.RESIDUE_MASS.items())} AS base FROM p),
+f(glycan, extra) AS (VALUES {', '.join(f"('{g}', {m}::DOUBLE)" for g, m in biologics.GLYCANS.items())}), c(clipped) AS (VALUES (0), (1))
+SELECT n_nationkey, glycan, clipped, round(base + extra - clipped * {protein.RESIDUE_MASS['K']}::DOUBLE, 4) AS mass FROM b, f, c WHERE clipped = 0 OR p LIKE '%K'""",
     "oligo_thermo": f"""WITH o AS (SELECT p_partkey, translate(regexp_replace(p_name, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS o FROM part),
 p AS (SELECT *, list_transform(range(1, length(o)), lambda i: substr(o, i, 2)) AS pairs, o = reverse(translate(o, 'ACGT', 'TGCA')) AS same FROM o),
 t AS (SELECT *, {_NN(0)} + {_END(0)} AS h, {_NN(1)} + {_END(1)} + CASE WHEN same THEN {protein.SYMMETRY}::DOUBLE ELSE 0 END AS s FROM p)
@@ -103,3 +133,6 @@ s AS (SELECT reaction, coalesce(sum(q * c) FILTER (known), 0) AS c, coalesce(sum
 SELECT reaction, CASE WHEN c <> 0 AND h <> 0 THEN 'C,H' WHEN c <> 0 THEN 'C' WHEN h <> 0 THEN 'H' ELSE '' END AS unbalanced, missing, missing = 0 AND c = 0 AND h = 0 AS balanced FROM s""",
     "shelf_life": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_tax > 0 AND l_quantity > 0 AND l_quantity <= 100 THEN ln(100 / l_quantity) / l_tax END, 6) + 0.0::DOUBLE AS life FROM lineitem",
 }
+ORACLES["scorecard"] = f"""WITH h AS ({_BIOLOGY["tanimoto_topk"].replace("round(tanimoto, 9) AS tanimoto", "tanimoto")})
+SELECT query_id, round(100 * max(tanimoto), 6) AS similarity, coalesce(bool_or(tanimoto >= 0.75 AND id % 3 IN (0, 1)), false) AS controlled,
+  CASE WHEN max(tanimoto) >= 0.75 THEN 'close' WHEN max(tanimoto) >= 0.5 THEN 'related' ELSE 'distant' END AS band FROM h GROUP BY query_id"""
