@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labspark.functions import html
 from labspark.operators import catalog_ops as ops
 from labspark.plans.views import rounded
-from labspark.tables import table
+from labspark.tables import spread_table, table
 
 
 def _catalog(s, d):
@@ -56,7 +56,7 @@ QUERIES = {
     "pgx_notes": _pgx,
     "recent_runs": lambda s, d: ops.recent_runs(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))),
     "verdict_max": lambda s, d: ops.verdict_max(table(s, d, "lineitem"), "l_orderkey", F.col("l_returnflag"), ("N", "A", "R")),
-    "html_to_text": lambda s, d: table(s, d, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.md5(F.encode(html.html_to_text(F.col("html")), "utf-8")).alias("digest"), F.size(html.links(F.col("html"))).alias("links")),
+    "html_to_text": lambda s, d: spread_table(s, d, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.md5(F.encode(html.html_to_text(F.col("html")), "utf-8")).alias("digest"), F.size(html.links(F.col("html"))).alias("links")),
     "edge_revenue": lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.count("*").alias("n")), "revenue", places=2),
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labspark.tables import table
+from labspark.tables import spread_table, table
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -62,7 +62,7 @@ BASES = "ACGTACGTACGTACGTACGTACGTAC"
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as DNA: the letters a to z of the whole text stand for bases."""
     letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.translate(letters, ALPHABET, BASES).alias("seq"))
+    return spread_table(spark, sf_dir, "documents", "doc_id", "lang", "text").select("doc_id", "lang", F.translate(letters, ALPHABET, BASES).alias("seq"))
 
 
 SEQS = f"""seqs AS (
