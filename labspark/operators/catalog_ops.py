@@ -16,13 +16,12 @@ def search(catalog: DataFrame, query: str, limit: int | None = 25) -> DataFrame:
 def resolve(targets: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted text: the first target whose id or name equals it, else whose name starts with it.
 
-    Equal keys join on the lower-cased text; prefixes join on every prefix length that is
-    asked for, so neither needs all pairs. Texts without a target keep a row of NULLs.
+    Equal keys join on the lower-cased text, prefixes on each prefix of a name, so neither
+    needs all pairs. Texts without a target keep a row of NULLs.
     """
-    lengths = [r[0] for r in wanted.select(F.length("text")).distinct().orderBy(F.length("text")).limit(256).collect()]
     keys = targets.select("id", "name", "seq", F.explode(F.array_distinct(F.array(F.lower(F.col("id").cast("string")), F.lower("name")))).alias("key")).withColumn("kind", F.lit(0))
-    cut = F.explode(F.array_distinct(F.transform(F.array(*(F.lit(n) for n in lengths or [0])), lambda n: F.left(F.lower("name"), n)))).alias("key")
-    prefixes = targets.select("id", "name", "seq", cut).withColumn("kind", F.lit(1))
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left(F.lower("name"), n))).alias("key")
+    prefixes = targets.filter(F.length("name") > 0).select("id", "name", "seq", cut).withColumn("kind", F.lit(1))
     best = F.min(F.struct("kind", "seq", "id", "name")).alias("best")
     hits = wanted.join(keys.unionByName(prefixes), F.lower("text") == F.col("key")).groupBy("text").agg(best)
     return wanted.join(hits, "text", "left").select("text", F.col("best.id").alias("id"), F.col("best.name").alias("name"), (F.col("best.kind") == 0).alias("exact"))
@@ -55,10 +54,12 @@ def coverage_summary(covered: DataFrame, declared: int) -> DataFrame:
 def interactions(inhibitors: DataFrame, substrates: DataFrame) -> DataFrame:
     """perpetrator, victim and the number of enzymes that the one inhibits and the other needs; never itself.
 
-    An equal join on the enzyme, with partial counts before the shuffle on the pair.
+    An equal join on the enzyme, with partial counts before the shuffle on the pair. Both sides
+    are dealt by enzyme to all cores, as few input rows make many pairs.
     """
-    a = inhibitors.select(F.col("member").alias("perpetrator"), "enzyme").distinct()
-    b = substrates.select(F.col("member").alias("victim"), "enzyme").distinct()
+    n = 2 * inhibitors.sparkSession.sparkContext.defaultParallelism
+    a = inhibitors.select(F.col("member").alias("perpetrator"), "enzyme").distinct().repartition(n, "enzyme")
+    b = substrates.select(F.col("member").alias("victim"), "enzyme").distinct().repartition(n, "enzyme")
     return a.join(b, "enzyme").filter("perpetrator <> victim").groupBy("perpetrator", "victim").agg(F.count("*").alias("enzymes"))
 
 
