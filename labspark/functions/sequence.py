@@ -34,6 +34,12 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(complement(seq))
 
 
+def reverse_complement_text(seq: str) -> str:
+    """reverse_complement of one upper-case text."""
+    pairs = dict(zip(IUPAC, COMPLEMENT, strict=True))
+    return "".join(pairs.get(c, "N") for c in reversed(seq))
+
+
 def _count(seq: Column, letters: str) -> Column:
     return F.length(F.regexp_replace(seq, f"[^{letters}]", ""))
 

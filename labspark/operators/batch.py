@@ -181,3 +181,44 @@ def leader_clusters(df: DataFrame, group: str, seq: str, order: str, identity: f
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (group, order)}
     return df.select(group, order, seq).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {order} {kinds[order]}, leader {kinds[order]}")
+
+
+def find_orfs(seq: str, min_aa: int = 30, circular: bool = False, need_stop: bool = False) -> list[tuple[str, int, int, int, bool]]:
+    """(strand, start, stop, amino acids, has stop) of open reading frames from every ATG, nested ones too.
+
+    Coordinates are 0-based, half-open, on the top strand, the stop codon included; on a
+    circle a frame may run once around, and stop then exceeds the length. Longest first,
+    then by start and strand.
+    """
+    from labspark.functions.sequence import reverse_complement_text, translate_bytes
+
+    n, out = len(seq), []
+    for strand, text in (("+", seq), ("-", reverse_complement_text(seq))):
+        whole = text + text[: max(0, n - 1)] if circular else text
+        for frame in range(3):
+            protein = translate_bytes(whole.encode("ascii", "replace"), frame)
+            end = len(protein)
+            stop_at = None
+            for k in range(len(protein) - 1, -1, -1):
+                if protein[k] == "*":
+                    end, stop_at = k, k
+                elif whole[frame + 3 * k : frame + 3 * k + 3] == "ATG":
+                    a, b = frame + 3 * k, frame + 3 * (end + (stop_at is not None))
+                    if a < n and b - a <= n and end - k >= min_aa and (stop_at is not None or not need_stop):
+                        start, stop = (a, b) if strand == "+" else (n - b, n - a)
+                        if start < 0:
+                            start, stop = start + n, stop + n
+                        out.append((strand, start, stop, end - k, stop_at is not None))
+    return sorted(out, key=lambda o: (-o[3], o[1], o[0]))
+
+
+def orfs(df: DataFrame, key: str, seq: str, min_aa: int = 30, circular: bool = False) -> DataFrame:
+    """A row for each open reading frame of each sequence; a NULL sequence has none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *o) for k, s in zip(batch[key], batch[seq], strict=True) if s for o in find_orfs(s, min_aa, circular)]
+            yield pd.DataFrame(rows, columns=[key, "strand", "start", "stop", "aa", "has_stop"])
+
+    return df.select(key, seq).mapInPandas(run, f"{key} {kind}, strand string, start int, stop int, aa int, has_stop boolean")

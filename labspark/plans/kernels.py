@@ -78,5 +78,6 @@ QUERIES = {
     "fba": _fva,
     "pk_profiles": _profiles,
     "leader_clusters": _leaders,
+    "orfs": lambda s, d: batch.orfs(sequences(s, d), "doc_id", "seq"),
 }
 ORACLES: dict[str, str] = {}

@@ -114,3 +114,36 @@ def test_registry(spark):
     registry.register_sql(spark)
     r = spark.sql("SELECT canonical_smiles('OCC') AS a, exact_mass('H2O') AS b, alignment_score('MKV', 'MKV') AS c, canonical_smiles('C(') AS d").first()
     assert r.a == "CCO" and r.b == pytest.approx(18.010565, abs=1e-5) and r.c == 14 and r.d is None
+
+
+def test_orfs(spark):
+    import random
+
+    from labspark.functions.sequence import reverse_complement_text
+
+    rng = random.Random(2)
+    for circular in (False, True):
+        for _ in range(30):
+            s = "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 90)))
+            n, want = len(s), set()
+            for strand, t in (("+", s), ("-", reverse_complement_text(s))):
+                for a in range(n):
+                    room = n if circular else n - a
+                    codons = ["".join(t[(a + i + j) % n] for j in range(3)) for i in range(0, room - 2, 3)]
+                    if not codons or codons[0] != "ATG":
+                        continue
+                    stop = next((i for i, c in enumerate(codons) if c in ("TAA", "TAG", "TGA")), None)
+                    if circular and stop is None:
+                        continue
+                    aa = len(codons) if stop is None else stop
+                    b = a + 3 * (aa + (stop is not None))
+                    start, end = (a, b) if strand == "+" else (n - b, n - a)
+                    if start < 0:
+                        start, end = start + n, end + n
+                    if aa >= 3:
+                        want.add((strand, start, end, aa, stop is not None))
+            got = {o for o in batch.find_orfs(s, 3, circular) if o[4] or not circular}
+            assert got == want
+    df = spark.createDataFrame([(1, "ATG" + "GCA" * 40 + "TAA"), (2, None)], "id long, seq string")
+    best = batch.orfs(df, "id", "seq").orderBy(F.col("aa").desc()).first()
+    assert (best.id, best.strand, best.start, best.stop, best.aa, best.has_stop) == (1, "+", 0, 126, 41, True)
