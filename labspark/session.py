@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/labspark-checkpoints"
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    """A folder for this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="labspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
