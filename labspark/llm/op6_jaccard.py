@@ -380,7 +380,8 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     """
     found = jaccard_components(docs.filter(F.col("doc_id").isNotNull()), params)
     kept = materialise(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    rows = packed(docs)
-    once = rows.join(kept, rows["row.doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    first = once.groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by(F.struct("text", "row"), F.xxhash64("text", "row")).alias("first")).select("first.*")
-    return unpacked(first.unionByName(rows.filter(F.col("row.doc_id").isNull())), docs.columns)
+    rows = packed(docs).select(F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("text", "row").alias("hash"), "text", "row")
+    first = materialise(rows.select("id", "hash").join(kept.withColumnRenamed("doc_id", "id"), "id", "left_semi").groupBy("id").agg(F.min("hash").alias("hash")), "first")
+    # Texts are shuffled once: repeats of a row meet where the join has put them.
+    once = rows.join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return unpacked(once.unionByName(rows.filter(F.col("id").isNull())), docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.llm import op1_chat, op10_licenses, op2_mixing, op3_packing, op4_topk, op5_lines, op6_jaccard, op7_decontaminate, op8_quality, op9_token_counts
-from labspark.tables import table
+from labspark.tables import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,7 +82,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_packing.pack(table(spark, sf_dir, "documents"))
+    return op3_packing.pack(spread_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +95,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_jaccard.jaccard_components(table(spark, sf_dir, "documents"), op6_jaccard.JaccardParams(width=4, num=85))
+    return op6_jaccard.jaccard_components(spread_table(spark, sf_dir, "documents", "doc_id", "text"), op6_jaccard.JaccardParams(width=4, num=85))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items found in it: ids, and the best similarity."""
-    found = op7_decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = op7_decontaminate.leaks(spread_table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", F.size("leaks").alias("n_items"), F.col("leaks.item_id").alias("item_ids"), F.array_max("leaks.similarity").alias("similarity"),
         F.col("leaks.first_word").alias("first_words"), (F.size("leaks") > 0).alias("contaminated"),
@@ -108,18 +108,18 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return op8_quality.quality(spread_table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def op9_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return op9_token_counts.prefix_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
+    return op9_token_counts.prefix_tokens(spread_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), budget=2048)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the licenses found in it, by place, and how much of each template matched."""
-    found = op10_licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    found = op10_licenses.scan_licenses(spread_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
         "doc_id", F.size("licenses").alias("n_licenses"), F.col("licenses.license").alias("licenses"), F.col("licenses.coverage").alias("coverage"),
         F.col("licenses.first_byte").alias("first_bytes"), F.col("licenses.end_byte").alias("end_bytes"),

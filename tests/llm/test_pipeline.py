@@ -1,6 +1,9 @@
+import os
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
+import pytest
 
 import __spark_entry__
 from labspark.llm.op3_packing import PackParams, encoder
@@ -38,3 +41,15 @@ def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
     assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.oracle_sql() if n.startswith("op")))
+def test_against_duckdb(spark, name):
+    con = duckdb.connect()
+    for file in os.listdir(SF):
+        con.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
+    df = __spark_entry__.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    relation = con.sql(__spark_entry__.oracle_sql()[name])
+    want = sorted(repr(tuple(dict(zip(relation.columns, r, strict=True))[c] for c in columns)) for r in relation.fetchall())
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == want
