@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -149,3 +149,16 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns that packed put away, in the order given."""
     return df.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+
+
+#: Rows of a bucket table at most, whatever the input: what may be broadcast without a look at its size.
+BUCKETS = 1 << 20
+
+
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def buckets(keys: DataFrame, key: str) -> DataFrame:
+    """The hash buckets that hold a key, to broadcast: other rows need not reach the shuffle of a join on it."""
+    return F.broadcast(keys.select(bucket(F.col(key)).alias("bucket")).distinct())

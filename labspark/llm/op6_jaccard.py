@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm._text import batches, mix, packed, shingles, unpacked, words
+from labspark.llm._text import batches, bucket, buckets, mix, packed, shingles, unpacked, words
 from labspark.operators.components import components
 from labspark.session import materialise
 
@@ -352,8 +352,10 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
         _blocks(members.join(shape, "component"), "chunks")
         .select(F.col("component").alias("cluster"), "i", "j", "node", F.col("rep").alias("doc_id"))
     )
+    own = docs.select(F.col("doc_id").cast("long"), "text")
     links = (
-        docs.select(F.col("doc_id").cast("long"), "text")
+        own.withColumn("bucket", bucket(F.col("doc_id")))
+        .join(buckets(members, "rep"), "bucket", "left_semi")
         .join(dealt, "doc_id")
         .select("cluster", "i", "j", "node", "text")
         .repartitionByRange("cluster", "i", "j")  # evenly filled, with each block in one piece
@@ -378,10 +380,17 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     Rows that repeat a kept doc_id are reduced to the one whose values come first by hash; rows
     without a doc_id are kept as they are, as nothing can name them.
     """
-    found = jaccard_components(docs.filter(F.col("doc_id").isNotNull()), params)
-    kept = materialise(found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept")
-    rows = packed(docs).select(F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("text", "row").alias("hash"), "text", "row")
-    first = materialise(rows.select("id", "hash").join(kept.withColumnRenamed("doc_id", "id"), "id", "left_semi").groupBy("id").agg(F.min("hash").alias("hash")), "first")
-    # Texts are shuffled once: repeats of a row meet where the join has put them.
-    once = rows.join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
-    return unpacked(once.unionByName(rows.filter(F.col("id").isNull())), docs.columns)
+    found = materialise(jaccard_components(docs.filter(F.col("doc_id").isNotNull()), params), "found")
+    goes = F.col("doc_id") != F.col("component_id")
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(goes).alias("goes")).filter("n > 1 OR goes")
+    near = materialise(buckets(odd, "doc_id"), "odd")
+    identity = F.col("row.doc_id").cast("long")
+    rows = packed(docs).select(identity.alias("id"), F.xxhash64("text", "row").alias("hash"), bucket(identity).alias("bucket"), "text", "row")
+    # Most rows have an id of their own that stays, and none of a bucket with others: they pass as they are.
+    sure = rows.join(F.broadcast(near), "bucket", "left_anti")
+    unsure = rows.filter(F.col("id").isNotNull()).join(F.broadcast(near), "bucket", "left_semi")
+    kept = found.filter(~goes).select(F.col("doc_id").alias("id")).distinct()
+    first = materialise(unsure.select("id", "hash").join(kept, "id", "left_semi").groupBy("id").agg(F.min("hash").alias("hash")), "first")
+    once = unsure.join(first, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    lost = rows.filter(F.col("id").isNull()).join(F.broadcast(near), "bucket", "left_semi")
+    return unpacked(sure.unionByName(once).unionByName(lost), docs.columns)
