@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes hashed at once; a slice ends at white space, so only a longer single word exceeds it.
 _SLICE = 1 << 20
+#: Words of more pieces of eight bytes are hashed one by one, all their pieces at once.
+_PIECES = 64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,19 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, _SLICE + (_SLICE >> 2))
-        tables = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        _powers = (tables[0], tables[1])
-    return _powers
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -58,14 +46,39 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _hash_slice(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words of data."""
-    edge = np.diff(np.concatenate(([0], (~_SPACE[data]).view(np.int8), [0])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    forward, back = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forward[: len(data)], out=total[1:])
-    return starts, ends, mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+def _salt(k: np.ndarray) -> np.ndarray:
+    return mix((k.astype(np.uint64) + np.uint64(1)) * _BASE)
+
+
+def _hash_slice(data: np.ndarray, table: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of data, whose bytes table maps; no word goes on over one of bounds.
+
+    A word's pieces of eight bytes, the last filled with zeros, are each mixed with their
+    number and added up, and the sum is mixed with the length: words of one piece never
+    collide, longer ones as random numbers do, whatever pattern their letters follow.
+    """
+    data = table[data]
+    there = ~_SPACE[data]
+    start, last = there.copy(), there.copy()
+    start[1:] &= ~there[:-1]
+    last[:-1] &= ~there[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(data))]
+    start[inner], last[inner - 1] = there[inner], there[inner - 1]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    pieces = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    total = mix((pieces[starts] & _MASK[np.minimum(size, 8)]) ^ _salt(np.zeros(1)))
+    more, k = np.flatnonzero(size > 8), 1
+    while len(more) and k < _PIECES:
+        at = starts[more] + 8 * k
+        total[more] += mix((pieces[at] & _MASK[np.minimum(ends[more] - at, 8)]) ^ _salt(np.array([k])))
+        k += 1
+        more = more[size[more] > 8 * k]
+    for i in more.tolist():
+        at = np.arange(starts[i] + 8 * k, ends[i], 8)
+        total[[i]] += mix((pieces[at] & _MASK[np.minimum(ends[i] - at, 8)]) ^ _salt(k + np.arange(len(at)))).sum(keepdims=True)
+    return starts, ends, mix(total + size.astype(np.uint64) * _BASE)
 
 
 class Words:
@@ -94,16 +107,11 @@ def words(column: pa.Array, lower: bool = True, punctuation: bool = True) -> Ite
         first, end = int(offsets[at]), int(offsets[last])
         if end - first <= 2 * _SLICE:
             own = offsets[at : last + 1] - first
-            # A space between texts keeps the last word of one from joining the next.
-            gapped = np.full(end - first + last - at, 0x20, np.uint8)
-            place = np.arange(end - first) + np.repeat(np.arange(last - at), np.diff(own))
-            gapped[place] = table[data[first:end]]
-            base = own + np.arange(last - at + 1)
-            starts, ends, hashes = _hash_slice(gapped)
-            cut = np.searchsorted(starts, base)
+            starts, ends, hashes = _hash_slice(data[first:end], table, own)
+            cut = np.searchsorted(starts, own)
             for i in range(last - at):
                 a, b = cut[i], cut[i + 1]
-                yield Words(starts[a:b] - base[i], ends[a:b] - base[i], hashes[a:b])
+                yield Words(starts[a:b] - own[i], ends[a:b] - own[i], hashes[a:b])
         else:
             yield _long(table, data[first:end])
         at = last
@@ -111,11 +119,12 @@ def words(column: pa.Array, lower: bool = True, punctuation: bool = True) -> Ite
 
 def _long(table: np.ndarray, data: np.ndarray) -> Words:
     parts, at = [], 0
+    none = np.zeros(0, np.int64)
     while at < len(data):
         end = min(at + _SLICE, len(data))
         while end < len(data) and not _SPACE[table[data[end]]]:
             end += 1
-        starts, ends, hashes = _hash_slice(table[data[at:end]])
+        starts, ends, hashes = _hash_slice(data[at:end], table, none)
         parts.append((starts + at, ends + at, hashes))
         at = end
     return Words(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
@@ -141,14 +150,18 @@ def batches(rows: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa
             yield batch.slice(at, step)
 
 
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """docs as text and row, a struct of all other columns, so that no name of theirs can clash."""
-    return docs.select("text", F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row"))
+    return docs.select("text", F.struct(*(_named(c) for c in docs.columns if c != "text")).alias("row"))
 
 
-def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns that packed put away, in the order given."""
-    return df.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns that packed put away, in the order given, and more columns of df."""
+    return df.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns), *more)
 
 
 #: Rows of a bucket table at most, whatever the input: what may be broadcast without a look at its size.

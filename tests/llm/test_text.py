@@ -52,3 +52,14 @@ def test_batches_bound_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 100)], names=["text"])
     parts = list(_text.batches(iter([batch]), 10_000))
     assert sum(p.num_rows for p in parts) == 100 and max(p.num_rows for p in parts) <= 10
+
+
+def test_no_collisions_of_patterned_words():
+    """Thue-Morse words and their complements collide under polynomials modulo a power of two."""
+    found = {}
+    for n in (8, 64, 1024, 8192):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        for text in (word, word.translate(str.maketrans("ab", "ba")), word[::-1] + "a", "a" * n, "a" * (n - 1) + "b", "b" + "a" * (n - 1)):
+            (own,) = _text.words(pa.array([text]))
+            assert found.setdefault(text, own.hashes.tolist()) == own.hashes.tolist() and len(own.hashes) == 1
+    assert len({h[0] for h in found.values()}) == len(found)
