@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.session import materialise
+from labspark.session import discard, materialise
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -28,14 +28,16 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     )
     state = None
     for _ in range(max_rounds):
+        before = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
         # Larger neighbours move to the smallest of the neighbourhood.
         large = materialise(both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         # Smaller neighbours, and the node itself, move to the smallest of them.
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         now = materialise(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
+        discard(before, low, large, lowest)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

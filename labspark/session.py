@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _own_dir()
 
@@ -59,4 +59,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/labspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+#: The tables that materialise wrote and nothing removed yet.
+_tables: list[str] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialise returned, once no later step reads them."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_to)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that materialise wrote in this process: to be called when results are written."""
+    for path in list(_tables):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        _tables.remove(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
