@@ -15,9 +15,17 @@ equal keys are met as a sorted stream. Pairs in a group must pass a bit-parity
 sketch (an element flips one bit, so the Hamming distance is again at most the symmetric
 difference) before they count as candidate edges. A small group gives its few pairs; the
 members of a large one meet in blocks of bounded size, which give a spanning forest of the
-pairs that pass. Candidate clusters, the components of those edges, are then compared
-exactly, again in blocks whose links leave as spanning forests. No step holds an unbounded
-group or emits all pairs of one, and no step drops a candidate.
+pairs that pass. Every link so lies within a component of the candidate edges, a cluster.
+
+Clusters are compared by their words, in blocks whose links leave as spanning forests. A
+small cluster is one block. In a large one each member first meets its candidate neighbour
+of most candidate edges, with the others that chose it: two such rounds send each text a few
+times and link nearly all. Only members that are still apart from their cluster's largest
+part then meet all of the cluster, block by block. No step holds an unbounded group or emits
+all pairs of one, and no step drops a candidate.
+
+Hashes only propose. Sets count as equal by 128 bits, of which the half that serves as key
+is looked through for clashes; every other link is decided on the words themselves.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ from pyspark.sql import functions as F
 
 from labspark.llm._text import batches, bucket, buckets, mix, packed, shingles, unpacked, words
 from labspark.operators.components import components
-from labspark.session import materialise
+from labspark.session import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -68,11 +76,13 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(own.hashes, width))
 
 
-def digest(own: np.ndarray) -> int:
-    """A 64-bit digest of a sorted set, as a signed integer; equal sets have equal ones."""
+def digest(own: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a sorted set, as two signed integers; equal sets have equal ones."""
     a = np.bitwise_xor.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D)))
     b = np.add.reduce(mix(own + np.uint64(0x14057B7EF767814F)))
-    return int(mix(np.array([a ^ mix(np.array([b + np.uint64(len(own))]))[0]]))[0].view(np.int64))
+    both = np.array([a, b + np.uint64(len(own))])
+    low = mix(both ^ mix(both[::-1]))
+    return int(low[0].view(np.int64)), int(low[1].view(np.int64))
 
 
 def _keys(own: np.ndarray, lows: np.ndarray, params: JaccardParams) -> np.ndarray:
@@ -114,7 +124,7 @@ def _hamming(a: bytes, b: bytes) -> int:
 
 
 def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
-    """doc_id, n_shingles, node (64-bit digest, null for the empty set), sketch and keys of each row.
+    """doc_id, n_shingles, node and check (a digest's halves, null for the empty set), sketch and keys of each row.
 
     A task leaves out sketch and keys of sets that it has met before, so that copies
     shrink to one entry a task before anything is shuffled.
@@ -122,14 +132,14 @@ def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
     lows = _bands(params)
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for batch in batches(rows):
-            if len(met) > 1 << 20:
+            if len(met) > 1 << 18:
                 met.clear()
             sizes, nodes, sketches, keys = [], [], [], []
             for own in _sets(batch.column("text"), params.width):
-                node = digest(own) if len(own) else None
-                fresh = node is not None and node not in met
+                node = digest(own) if len(own) else (None, None)
+                fresh = len(own) > 0 and node not in met
                 sizes.append(len(own))
                 nodes.append(node)
                 sketches.append(_bits(own) if fresh else None)
@@ -138,11 +148,28 @@ def shingle_sets(docs: DataFrame, params: JaccardParams) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "n_shingles", "node", "sketch", "keys"],
+                [
+                    batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array([n[0] for n in nodes], pa.int64()), pa.array([n[1] for n in nodes], pa.int64()),
+                    pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                names=["doc_id", "n_shingles", "node", "check", "sketch", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, n_shingles long, node long, sketch binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "doc_id long, n_shingles long, node long, check long, sketch binary, keys array<long>")
+
+
+def _told_apart(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets, and its nodes (node, check, rep, n, sketch); different sets of one node get nodes of their own."""
+    while True:
+        there = sets.filter(F.col("node").isNotNull())
+        both = there.groupBy("node").agg(F.min("check").alias("check"), F.max("check").alias("other"), F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+        nodes = materialise(both, "nodes")
+        clash = nodes.filter("check <> other").select("node", F.lit(True).alias("clash"))
+        if clash.isEmpty():
+            return sets, nodes.drop("other")
+        # One clash is expected at some 10^9.5 different sets.
+        anew = F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        sets = materialise(sets.join(clash, "node", "left").withColumn("node", anew).drop("clash"), "sets")
 
 
 def _group_edges(params: JaccardParams):
@@ -292,27 +319,64 @@ def linked(sets: list[np.ndarray], params: JaccardParams) -> Iterator[tuple[int,
     yield from _forest(lambda i: params.den * both[i, i + 1 :] >= params.num * (size[i] + size[i + 1 :] - both[i, i + 1 :]), n)
 
 
+def exact_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The shingle sets of texts as integers that are equal where the words are.
+
+    Words are numbered from 1 in the order of their first use; a text of fewer words than a
+    shingle is filled up with 0. As many numbers as fit go into one integer; where a shingle
+    needs more, the integers so far are replaced by their ranks.
+    """
+    known: dict[bytes, int] = {}
+    rows = [[known.setdefault(w, len(known) + 1) for w in text.lower().split()] for text in texts]
+    rows = [r + [0] * (width - len(r)) if r else [] for r in rows]
+    at = np.cumsum([0] + [len(r) for r in rows])
+    flat = np.fromiter((w for r in rows for w in r), np.int64, int(at[-1]))
+    n, size = len(flat) - width + 1, len(known).bit_length()
+    if n <= 0:
+        return [flat[:0] for _ in rows]
+    out, used = flat[:n].copy(), size
+    for k in range(1, width):
+        if used + size > 62:
+            _, out = np.unique(out, return_inverse=True)
+            used = int(n).bit_length()
+        out = (out << size) | flat[k : n + k]
+        used += size
+    return [np.unique(out[a : b - width + 1]) if b > a else flat[:0] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _verify(params: JaccardParams):
-    """Links within each block of a cluster; rows come sorted by (cluster, i, j)."""
+    """Links within each block of a cluster; rows come sorted by (cluster, i, j, node)."""
+
+    def links(held: dict[int, list]) -> list[tuple[int, int]]:
+        nodes = list(held)
+        return [(nodes[x], nodes[y]) for x, y in linked(exact_sets([_text_of(own, params) for own in held.values()], params.width), params)]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
+        now, held = None, {}
         for batch in batches(rows):
             found = []
-            at = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node")), strict=True)
-            for (cluster, i, j, node), own in zip(at, _sets(batch.column("text"), params.width), strict=True):
+            at = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "check")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            for cluster, i, j, node, check, text in at:
                 if (cluster, i, j) != now:
-                    found += [(nodes[x], nodes[y]) for x, y in linked(sets, params)]
-                    now, nodes, sets = (cluster, i, j), [], []
-                if (not nodes or nodes[-1] != node) and len(own) and digest(own) == node:
-                    nodes.append(node)
-                    sets.append(own)
+                    found += links(held)
+                    now, held = (cluster, i, j), {}
+                if text is not None and (check, text) not in (own := held.setdefault(node, [])):
+                    own.append((check, text))
             yield _edges_of(found)
-        yield _edges_of([(nodes[x], nodes[y]) for x, y in linked(sets, params)])
+        yield _edges_of(links(held))
 
     return run
 
 
+def _text_of(own: list[tuple[int, bytes]], params: JaccardParams) -> bytes:
+    """The text of a node among those of the rows that share its doc_id."""
+    if len(own) > 1:
+        for (check, text), hashes in zip(own, _sets(pa.array([t for _, t in own], pa.binary()), params.width), strict=True):
+            if len(hashes) and digest(hashes)[1] == check:
+                return text
+    return own[0][1]
+
+
 def _blocks(rows: DataFrame, chunks: str) -> DataFrame:
     """rows dealt to chunks of their key by node, once for each pair (i, j) of chunks that meets."""
     return (
@@ -322,18 +386,93 @@ def _blocks(rows: DataFrame, chunks: str) -> DataFrame:
     )
 
 
+def _links(docs: DataFrame, dealt: DataFrame, params: JaccardParams) -> DataFrame:
+    """The links (a, b) within each block (cluster, i, j) of dealt (with node, check and rep, whose text is compared)."""
+    dealt = materialise(dealt.select("cluster", "i", "j", "node", "check", F.col("rep").alias("doc_id")).distinct(), "dealt")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bucket", bucket(F.col("doc_id"))).join(buckets(dealt, "doc_id"), "bucket", "left_semi")
+    links = (
+        texts.join(dealt, "doc_id")
+        .select("cluster", "i", "j", "node", "check", "text")
+        .repartitionByRange("cluster", "i", "j")  # evenly filled, with each block in one piece
+        .sortWithinPartitions("cluster", "i", "j", "node")
+        .mapInArrow(_verify(params), "a long, b long")
+    )
+    links = materialise(links.distinct(), "links")
+    discard(dealt)
+    return links
+
+
+def _chunks(params: JaccardParams):
+    return F.greatest(F.ceil(F.count("*") / params.chunk_rows), F.ceil(F.sum("n") / params.chunk_shingles)).cast("int")
+
+
+def _by_hub(rows: DataFrame, chosen: DataFrame, params: JaccardParams) -> DataFrame:
+    """Blocks of rows: chosen (node, hub) in chunks by hub, with the hub itself in each chunk."""
+    wanted = materialise(chosen.join(rows, "node"), "chosen")
+    shape = materialise(wanted.groupBy("hub").agg(_chunks(params).alias("chunks")), "shape")
+    part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    zero = F.lit(0).alias("j")
+    own = wanted.join(shape, "hub").select(F.col("hub").alias("cluster"), part.alias("i"), zero, "node", "check", "rep")
+    hubs = shape.join(rows, shape["hub"] == rows["node"]).select(F.col("hub").alias("cluster"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), zero, "node", "check", "rep")
+    return own.unionByName(hubs)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with part, the component of links that holds the node, and apart: it is not its cluster's largest."""
+    found = rows.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    found = materialise(found, "parts")
+    size = found.groupBy("component_of", "part").agg(F.count("*").alias("size"))
+    most = size.groupBy("component_of").agg(F.max(F.struct("size", "part"))["part"].alias("main"))
+    return materialise(found.join(most, "component_of").withColumn("apart", F.col("part") != F.col("main")).drop("main"), "apart")
+
+
+def _large_clusters(docs: DataFrame, rows: DataFrame, near: DataFrame, params: JaccardParams) -> list[DataFrame]:
+    """Links of large clusters: rows are node, component_of, check, rep and n, near the candidate edges."""
+    edges = near.join(rows.select(F.col("node").alias("a")), "a", "left_semi")
+    edges = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("hub")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("hub"))), "hub-edges")
+    degree = materialise(edges.groupBy(F.col("node").alias("hub")).agg(F.count("*").alias("degree")), "degree")
+    ranked = edges.join(degree, "hub")
+    choice = F.max(F.struct("degree", "hub"))["hub"].alias("hub")
+    # A node of more edges than its neighbours is its own hub.
+    first = materialise(ranked.unionByName(degree.select(F.col("hub").alias("node"), "hub", "degree")).groupBy("node").agg(choice), "first")
+    links = [_links(docs, _by_hub(rows, first, params), params)]
+    state = _labelled(rows, links[0])
+    apart = state.filter("apart")
+    if apart.isEmpty():
+        return links
+    # Members apart try their best neighbour in another part.
+    part = state.select("node", "part")
+    across = ranked.join(apart.select("node", F.col("part").alias("own")), "node").join(part.withColumnRenamed("node", "hub"), "hub").filter("own <> part")
+    second = across.join(first, ["node", "hub"], "left_anti").groupBy("node").agg(choice)
+    links.append(_links(docs, _by_hub(rows, second, params), params))
+    state = _labelled(rows, links[0].unionByName(links[1]))
+    apart = state.filter("apart")
+    if apart.isEmpty():
+        return links
+    # What is still apart meets all of its cluster.
+    few = materialise(apart.groupBy("component_of").agg(_chunks(params).alias("few")), "shape")
+    many = materialise(state.join(few, "component_of").groupBy("component_of").agg(_chunks(params).alias("many"), F.max("few").alias("few")), "shape")
+    dealt = state.join(many, "component_of")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    columns = (F.col("component_of").alias("cluster"), "i", "j", "node", "check", "rep")
+    asking = dealt.filter("apart").select("*", own("few").alias("i"), spread("many").alias("j")).select(*columns)
+    asked = dealt.select("*", spread("few").alias("i"), own("many").alias("j")).select(*columns)
+    return [*links, _links(docs, asking.unionByName(asked), params)]
+
+
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row.
 
     Null or wordless text: the empty set, its own component. Fewer words than a shingle has:
     the whole sequence is the one shingle. Equal sets link. Repeated rows each get a row.
     A null doc_id joins its component but never names it unless all its members' ids are null.
-    Words are split at ASCII white space after A-Z became a-z.
+    Words are split at ASCII white space after A-Z became a-z. Texts and words of any length
+    are taken whole, an empty table gives an empty one, and other columns are not looked at.
     """
-    sets = materialise(shingle_sets(docs, params), "sets")
+    sets, nodes = _told_apart(materialise(shingle_sets(docs, params), "sets"))
     small = sets.select("doc_id", "n_shingles", "node")
     there = sets.filter(F.col("node").isNotNull())
-    nodes = materialise(there.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "nodes")
     keyed = there.select("node", F.explode("keys").alias("key")).repartitionByRange("key", "node").sortWithinPartitions("key", "node")
     met = materialise(keyed.mapInArrow(_group_edges(params), "key long, a long, b long"), "met")
     side = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sketch").alias(s))
@@ -343,29 +482,24 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     sizes = materialise(large.groupBy("key").agg(F.ceil(F.count("*") / params.sketch_rows).cast("int").alias("chunks")), "sizes")
     crowd = _blocks(large.join(sizes, "key"), "chunks").select("key", "i", "j", "node").join(nodes.select("node", "n", "sketch"), "node")
     forests = crowd.repartitionByRange("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_large_groups(params), "a long, b long")
-    near = near.unionByName(forests)
-
-    members = materialise(components(near).join(nodes.select("node", "rep", "n"), "node"), "members")
-    chunks = F.greatest(F.ceil(F.count("*") / params.chunk_rows), F.ceil(F.sum("n") / params.chunk_shingles)).cast("int")
-    shape = materialise(members.groupBy("component").agg(chunks.alias("chunks")), "shape")
-    dealt = (
-        _blocks(members.join(shape, "component"), "chunks")
-        .select(F.col("component").alias("cluster"), "i", "j", "node", F.col("rep").alias("doc_id"))
-    )
-    own = docs.select(F.col("doc_id").cast("long"), "text")
-    links = (
-        own.withColumn("bucket", bucket(F.col("doc_id")))
-        .join(buckets(members, "rep"), "bucket", "left_semi")
-        .join(dealt, "doc_id")
-        .select("cluster", "i", "j", "node", "text")
-        .repartitionByRange("cluster", "i", "j")  # evenly filled, with each block in one piece
-        .sortWithinPartitions("cluster", "i", "j", "node")
-        .mapInArrow(_verify(params), "a long, b long")
-    )
-    named = materialise(components(links).join(nodes.select("node", "rep"), "node"), "named")
+    near = materialise(near.unionByName(forests).distinct(), "near")
+    discard(met, sizes)
+
+    members = materialise(components(near).join(nodes.select("node", "check", "rep", "n"), "node").withColumnRenamed("component", "component_of"), "members")
+    shape = materialise(members.groupBy("component_of").agg(_chunks(params).alias("chunks")), "shape")
+    whole = members.join(shape.filter("chunks = 1"), "component_of").select(F.col("component_of").alias("cluster"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "check", "rep")
+    links = [_links(docs, whole, params)]
+    crowded = materialise(members.join(shape.filter("chunks > 1"), "component_of").drop("chunks"), "crowded")
+    if not crowded.isEmpty():
+        links += _large_clusters(docs, crowded, near, params)
+    linked_ = links[0]
+    for more in links[1:]:
+        linked_ = linked_.unionByName(more)
+    named = materialise(components(linked_).join(nodes.select("node", "rep"), "node"), "named")
     best = materialise(named.groupBy("component").agg(F.min("rep").alias("best")), "best")
-    named = named.join(best, "component").select("node", "best")
-    label = materialise(nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("best", "rep").alias("component_id")), "labels")
+    label = nodes.select("node", "rep").join(named.join(best, "component").select("node", "best"), "node", "left").select("node", F.coalesce("best", "rep").alias("component_id"))
+    label = materialise(label, "labels")
+    discard(near, members, shape, crowded, named, best, *links)
     return (
         small.filter(F.col("node").isNotNull())
         .join(label, "node")
@@ -378,7 +512,8 @@ def keep_one(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFr
     """The rows of docs whose doc_id names their component: one of each group of near copies.
 
     Rows that repeat a kept doc_id are reduced to the one whose values come first by hash; rows
-    without a doc_id are kept as they are, as nothing can name them.
+    without a doc_id are kept as they are, as nothing can name them, and so are rows of null
+    or wordless text, each its own group. Other columns of docs may have any name.
     """
     found = materialise(jaccard_components(docs.filter(F.col("doc_id").isNotNull()), params), "found")
     goes = F.col("doc_id") != F.col("component_id")
