@@ -11,7 +11,9 @@ swap-or-not construction, a bijection of any range), and blocks join slots by in
 
 Within an epoch a block is used once, so no word is used more often than there are epochs.
 Nothing is keyed by source alone but tables of a row for each shard or hash bucket: the word
-positions come from two-level prefix sums, over (source, bucket) and then within a bucket.
+positions come from two-level prefix sums, over (source, bucket) and then within a bucket,
+and the slots are made after those rows were dealt by (shard, source) to tasks of
+task_slots each.
 """
 
 from __future__ import annotations
@@ -29,14 +31,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @dataclass(frozen=True)
 class MixParams:
-    """weights repeat over the sources in code-point order; share is of all words, cap of a source's."""
+    """weights repeat over the sources in code-point order; share is of all words, cap of a source's.
+
+    Hash buckets are the least number given or more, so that one holds bucket_rows rows or so.
+    """
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
     cap: int = 2
     block: int = 256
     shard_slots: int = 4096
+    task_slots: int = 1 << 15
+    most_tasks: int = 10_000
     buckets: int = 4096
+    bucket_rows: int = 1 << 16
     rounds: int = 16
     seed: int = 20240601
 
@@ -133,8 +141,12 @@ def shard_counts(table: DataFrame, params: MixParams) -> DataFrame:
 def slots(table: DataFrame, params: MixParams) -> DataFrame:
     """shard, idx, epoch, block and words (used from its start) of every output slot."""
     counts = materialise(shard_counts(table, params), "mix-counts")
+    total = int(table.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
+    tasks = max(1, min(params.most_tasks, -(-total // params.task_slots)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = counts.withColumn("first", before).select("shard", "idx", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).join(table, "idx")
+    # The window has a row a shard of each source; its rows are dealt anew before they become slots.
+    dealt = counts.join(table.drop("source"), "idx").withColumn("first", before).repartition(tasks, "shard", "idx")
+    each = dealt.select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     each = each.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks")))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), params, F.col("idx"), F.col("epoch"))
     return each.withColumn("block", block).select(
@@ -145,7 +157,8 @@ def slots(table: DataFrame, params: MixParams) -> DataFrame:
 
 def pieces(rows: DataFrame, table: DataFrame, params: MixParams) -> DataFrame:
     """row, shard, epoch, from_word and n_words: what each slot takes of each document."""
-    placed = rows.filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(params.seed + 3), "doc_id", "hash"), F.lit(params.buckets)))
+    buckets = max(params.buckets, 1 << (rows.count() // params.bucket_rows).bit_length())
+    placed = rows.filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64(F.lit(params.seed + 3), "doc_id", "hash"), F.lit(buckets)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.withColumn("offset", before).join(table.select("idx", F.col("source").alias("name")), F.col("source").eqNullSafe(F.col("name"))).select("idx", F.col("name"), F.col("bucket").alias("part"), "offset")
@@ -194,7 +207,8 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     tokens = F.regexp_extract_all(text, F.lit(rf"{WORD}[\x20\x09-\x0D]*"), 0)
     cut = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("tokens"), (r["from_word"] + 1).cast("int"), r["n_words"].cast("int")))), "")
     whole = F.col("n") == F.col("size")
-    got = rows.join(runs, "row").withColumn("tokens", F.when(~whole, tokens)).withColumn("mixed", F.when(whole, text).otherwise(cut))
+    # Generated, as a projected column would be put into the lambda and split anew for each run.
+    got = rows.join(runs, "row").select("*", F.explode(F.array(F.when(~whole, tokens))).alias("tokens")).withColumn("mixed", F.when(whole, text).otherwise(cut))
     out = {"doc_id": F.col("doc_id"), "source": F.col("source")} | {c: F.col("kept").getField(c) for c in extra} | {"text": F.col("mixed")}
     if "n_chars" in extra:
         out["n_chars"] = F.length("mixed").cast(docs.schema["n_chars"].dataType)

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from labspark.llm.op2_mixing import MixParams, mix, mixed_documents, permuted
+from labspark.llm.op2_mixing import MixParams, mix, mixed_documents, permuted, slots, targets, with_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,3 +74,23 @@ def test_no_words(docs):
     assert [(r["size"], r.source_size, r.target, r.taken) for r in mix(docs((1, None), (2, "  "))).collect()] == [(0, 0, 0.0, 0)] * 2
     assert mix(docs()).collect() == []
     assert mixed_documents(docs((1, " "))).collect() == []
+
+
+def test_slots_of_one_source_are_made_in_many_tasks(docs):
+    p = MixParams(block=4, shard_slots=16, task_slots=64)
+    table = targets(with_rows(docs(*((i, "word " * 40) for i in range(100)))), p)
+    made = slots(table, p).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert sum(r["count"] for r in made) == 1500 and len(made) > 12 and max(r["count"] for r in made) < 300
+
+
+def test_very_long_texts_and_columns_of_any_name(docs):
+    rows = [(1, "a b " * 300_000), (2, "c d"), (2, "c d"), (3, None), (None, "e")]
+    table = docs(*rows).withColumnRenamed("lang", "row").withColumnRenamed("n_chars", "runs").withColumn("kept", F.lit(1)).withColumn("tokens", F.lit("t")).withColumn("mixed", F.lit(2.0)).withColumn("idx", F.lit(9))
+    got = mixed_documents(table)
+    assert got.columns == table.columns
+    want = {(r.doc_id, r["size"]): r.taken for r in mix(table).collect()}
+    taken = Counter()
+    for r in got.collect():
+        taken[r.doc_id] += len(WORD.findall(r.text))
+        assert (r.row, r.kept, r.tokens, r.mixed, r.idx) == ("en", 1, "t", 2.0, 9)
+    assert taken[1] == want[1, 600_000] and abs(sum(taken.values()) - 1.5 * 600_005) < 2
