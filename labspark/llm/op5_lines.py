@@ -38,31 +38,29 @@ class LineParams:
     min_tokens: int = 3
 
 
-def _parsed(params: LineParams):
-    """An array with a struct for each line of text: masked, n, leaf, and line (a hash of masked).
+def _lines(docs: DataFrame, params: LineParams) -> DataFrame:
+    """doc (a hash of id and text), pos, masked, n, leaf and line (a hash of masked) of each line.
 
-    Lines without digits and odd white space, nearly all, are taken as they are.
+    Lines without digits and odd white space, nearly all, are taken as they are. Lines are
+    spread out before they are parsed, so that parsing is compiled code.
     """
     odd = F.lit(r"[0-9\t\x0B-\r]|  |^ | $")
     space, field = F.lit(r"[\x20\x09-\x0D]+"), F.lit(r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+")
-    mask = lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, space, F.lit(" "))), field, F.lit("<*>"))
-    masked = F.transform(F.split("text", "\n"), lambda x: F.when(F.regexp_like(x, odd), mask(x)).otherwise(x))
-    tokens = lambda m: F.when(m == "", 0).otherwise(F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1)
-    counted = F.transform(masked, lambda m: F.struct(m.alias("masked"), tokens(m).alias("n")))
-    lead = lambda s: F.substring_index(s["masked"], " ", params.depth)
-    return F.transform(counted, lambda s: F.struct(s["masked"].alias("masked"), s["n"].alias("n"), F.xxhash64(s["n"], lead(s)).alias("leaf"), F.xxhash64(s["masked"]).alias("line")))
-
-
-def _lines(docs: DataFrame, params: LineParams) -> DataFrame:
-    """doc (a hash of id and text), pos, masked, n, leaf and line of each line that counts."""
+    mask = F.regexp_replace(F.trim(F.regexp_replace("l", space, F.lit(" "))), field, F.lit("<*>"))
     doc = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc")
-    return docs.select(doc, F.posexplode(_parsed(params)).alias("pos", "l")).select("doc", "pos", "l.*").filter(F.col("n") >= params.min_tokens)
+    split = docs.select(doc, F.posexplode(F.split("text", "\n")).alias("pos", "l"))
+    masked = split.select("doc", "pos", F.when(F.regexp_like("l", odd), mask).otherwise(F.col("l")).alias("masked"))
+    m = F.col("masked")
+    n = F.when(m == "", 0).otherwise(F.octet_length(m) - F.octet_length(F.replace(m, F.lit(" "), F.lit(""))) + 1)
+    counted = masked.select("doc", "pos", "masked", n.alias("n"))
+    return counted.select("doc", "pos", "masked", "n", F.xxhash64("n", F.substring_index("masked", " ", params.depth)).alias("leaf"), F.xxhash64("masked").alias("line"))
 
 
 def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple[DataFrame, DataFrame]:
     """(slim, dropped): every counted line as doc, pos and line; the line hashes whose template recurs."""
-    lines = _lines(docs, params)
-    slim = materialise(lines.select("doc", "pos", "leaf", "line", "n"), "lines")
+    # Written once, masked texts in a column that only crowded leaves read again.
+    lines = materialise(_lines(docs, params), "lines").filter(F.col("n") >= params.min_tokens)
+    slim = lines.drop("masked")
     once = materialise(slim.select("leaf", "line", "n", "doc").distinct().groupBy("leaf", "line", "n").agg(F.count("*").alias("docs")), "line-counts")
     crowded = materialise(once.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf"), "leaves")
     # Tokens of the different lines of crowded leaves; a hot line is one row a task here.
@@ -70,7 +68,7 @@ def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple
     bucket = lambda c: F.pmod(c, F.lit(1 << 20)).cast("int").alias("bucket")
     near = F.broadcast(crowded.select(bucket(F.col("leaf"))).distinct())
     near_texts = lines.select("leaf", "line", "masked", bucket(F.col("leaf"))).join(near, "bucket", "left_semi")
-    texts = near_texts.join(crowded, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("masked").alias("masked"))
+    texts = near_texts.groupBy("leaf", "line").agg(F.min("masked").alias("masked")).join(crowded, "leaf", "left_semi")
     tokens = texts.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     tokens = materialise(tokens.select("leaf", "line", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("token") == "<*>").alias("variable")), "tokens")
     weighed = tokens.filter(~F.col("variable")).join(once.select("line", "docs"), "line")
@@ -96,20 +94,22 @@ def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """doc_id, n_lines, n_dropped and text (the lines that stay, in order) of each row of docs.
 
-    Null text: no lines, null text. Blank and very short lines stay. Repeated rows are one
-    document and lose the same lines. White space within a line does not tell lines apart.
+    Null text: no lines, null text. Empty text: one empty line. Blank and very short lines
+    stay. Repeated rows are one document and lose the same lines. White space within a line
+    does not tell lines apart, nor do runs of characters with a digit. Texts are parsed
+    whole, whatever their length; other columns of docs are not looked at, and an empty table
+    gives an empty one. Lines and tokens are known by 64-bit hashes within their leaf.
     """
     slim, dropped = recurring_lines(docs, params)
-    lost = slim.join(dropped, "line", "left_semi").groupBy("doc").agg(F.collect_list("pos").alias("lost"))
+    # A set, as repeated rows are one document.
+    lost = slim.join(dropped, "line", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("lost"))
     lost = materialise(lost, "lost")
     doc = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc")
-    both = docs.select(F.col("doc_id").cast("long"), "text", doc).join(lost, "doc", "left")
-    lines = F.split("text", "\n")
-    gone = F.coalesce("lost", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    return both.withColumn("gone", gone).select(
-        "doc_id",
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"),
-        F.size("gone").alias("n_dropped"),
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(kept).alias("text"),
+    both = docs.select(F.col("doc_id").cast("long"), F.split("text", "\n").alias("lines"), doc).join(lost, "doc", "left")
+    size = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    return both.select(
+        "doc_id", size.alias("n_lines"), F.when(F.col("lost").isNotNull(), F.size("lost")).otherwise(0).alias("n_dropped"),
+        F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(kept).alias("text"),
     )
