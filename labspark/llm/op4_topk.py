@@ -9,12 +9,18 @@ least |d(q, p) - r| from q, which bounds its score from above.
 A query starts with a threshold, the k-th best of a bounded sample of real rows, and takes
 the annuli in the order of their bounds until the next bound is below the threshold. Queries
 travel in blocks to the annuli that they need; an annulus comes in blocks of bounded size,
-so no task holds all of it, and the products are exact integers. All rows are indexed; the
-sample chooses pivots and starting thresholds alone and bears on the speed, not the result.
+and a large one is dealt to several keys, each of which gets the queries, so no task holds
+all of it. Pivots grow with the rows. All rows are indexed; the sample chooses pivots and
+starting thresholds alone and bears on the speed, not the result.
+
+Distances and bounds are taken on vectors divided by the largest component, so that none
+overflows, with a margin for rounding. The products are exact integers at any size: where
+float64 can't hold them, components are cut into limbs whose products it holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,26 +35,34 @@ from labspark.session import materialise
 
 @dataclass(frozen=True)
 class TopKParams:
-    """sample bounds the rows that pivots and starting thresholds come from; annuli is for each pivot."""
+    """sample bounds the rows that pivots and starting thresholds come from; annuli is for each pivot.
+
+    There are a sixteenth of the root of the rows as pivots, from pivots to most_pivots.
+    """
 
     k: int = 5
     scale: float = 256.0
     sample: int = 2048
     pivots: int = 32
+    most_pivots: int = 512
     annuli: int = 16
     data_block: int = 2048
+    key_blocks: int = 8
     query_block: int = 512
 
 
 def integer_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
-    """id and v (floor of scale times each component) of rows whose vector has only finite components.
+    """id and v (floor of scale times each component, as exact doubles) of rows whose vector has only finite components.
 
-    Rows with a null id, a null vector, or a null, NaN or infinite component are left out.
+    Rows with a null id, a null vector, or a null, NaN or infinite component (also one that
+    is infinite only when scaled, beyond 10^305) are left out.
     """
-    x = F.transform(F.col(embedding), lambda c: c.cast("double"))
+    x = F.transform(F.col(embedding), lambda c: c.cast("double") * F.lit(float(scale)))
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     good = F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & ~F.coalesce(bad, F.lit(True))
-    return vectors.filter(good).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    # From 2^52 on a double is an integer, and floor would end at the range of a long.
+    whole = lambda c: F.when(F.abs(c) >= float(1 << 52), c).otherwise(F.floor(c).cast("double"))
+    return vectors.filter(good).select(F.col(vec_id).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -66,19 +80,40 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+LIMB, LOWEST, HIGHEST = 18, -(1 << 63), (1 << 63) - 1
+
+
+def _limbs(x: np.ndarray) -> list[np.ndarray]:
+    """Integers (as doubles) in base 2^LIMB, lowest first; each limb has its number's sign."""
+    out = []
+    while x.any():
+        rest = np.trunc(np.ldexp(x, -LIMB))
+        out.append(x - np.ldexp(rest, LIMB))
+        x = rest
+    return out
+
+
 def scores(q: np.ndarray, x: np.ndarray, largest: float) -> np.ndarray:
-    """Exact integer inner products; beyond what float64 holds exactly, by Python integers."""
+    """Exact integer inner products as longs; those beyond the range of a long are its ends."""
     if largest * largest * max(1, x.shape[1]) < 2.0**53:
         return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T
+    total = np.zeros((len(q), len(x)), object)
+    b = _limbs(x)
+    for i, own in enumerate(_limbs(q)):
+        for j, other in enumerate(b):
+            total += (own @ other.T).astype(np.int64).astype(object) << (LIMB * (i + j))
+    return np.minimum(np.maximum(total, LOWEST), HIGHEST).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Index:
-    """Pivots, the common norm, and the range of distances in each annulus: a size fixed by the parameters."""
+    """Pivots, the common norm, and the range of distances in each annulus: a size bounded by the parameters.
+
+    All but the arguments are in units of unit, the largest component.
+    """
 
     dim: int
-    largest: float
+    unit: float
     norm2: float
     pivots: np.ndarray
     width: float
@@ -86,6 +121,7 @@ class Index:
     high: np.ndarray
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
+        x = x / self.unit
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm2 - (x * x).sum(axis=1), 0))
         return np.column_stack([x, extra])
 
@@ -101,11 +137,14 @@ class Index:
 
     def bounds(self, q: np.ndarray, annuli: int) -> np.ndarray:
         """An upper bound of the score of each query with anything in each annulus; -inf for empty ones."""
+        filled = np.isfinite(self.low)
+        low, high = np.where(filled, self.low, 0), np.where(filled, self.high, 0)
         d = np.repeat(self.distances(self.lifted(q, query=True)), annuli, axis=1)
-        # The margin covers rounding of the distances, which are far below 2^53.
-        gap = np.maximum(np.maximum(self.low - d, d - self.high) - 1e-6 * (1 + d + self.width * annuli), 0)
+        # The margin covers the rounding of distances, whose squares are sums of numbers up to the dimension.
+        gap = np.maximum(np.maximum(low - d, d - high) - 1e-6 * (1 + d + self.width * annuli), 0)
+        q = q / self.unit
         best = ((q * q).sum(axis=1)[:, None] + self.norm2 - gap * gap) / 2
-        return np.where(np.isfinite(self.low), best + 1e-6 * (np.abs(best) + 1), -np.inf)
+        return np.where(filled, best + 1e-6 * (np.abs(best) + 1), -np.inf)
 
 
 def _sample(ints: DataFrame, params: TopKParams) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +167,9 @@ def _far_points(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-PAYLOAD = "cell int, ids binary, vectors binary"
+#: Keys of one annulus at most, far beyond what any table fills.
+KEYS = 1 << 40
+PAYLOAD = "cell long, ids binary, vectors binary"
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopKParams = TopKParams(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -137,22 +178,27 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
     Ties go to the smaller vec_id. A query never meets rows of its own id; of repeated query
     ids the smallest vector asks; repeated other rows are candidates each. Shorter vectors
     count as padded with zeros. With fewer than k candidates all are returned. Vectors with null or
-    non-finite components, or without id, take no part.
+    non-finite components, or without id, take no part. Scores are exact for components of
+    any size; a score beyond the range of a long counts, and ranks, as the end of that range.
+    An empty table gives an empty one; other columns are not looked at.
     """
     spark = vectors.sparkSession
     ints = materialise(integer_vectors(vectors.select(vec_id, embedding), vec_id, embedding, params.scale), "topk-vectors")
-    shape = ints.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))).first()
-    dim, largest, norm2 = int(shape[0] or 0), float(shape[1] or 0), float(shape[2] or 0)
+    count, dim, largest = ints.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()
+    dim, largest = int(dim or 0), float(largest or 0)
+    unit = largest or 1.0
+    norm2 = float(ints.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + (c / unit) * (c / unit)))).first()[0] or 0)
     sample_ids, sample = _sample(ints, params)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = np.pad(sample, ((0, 0), (0, dim - sample.shape[1])))
-    lifted = np.column_stack([sample, np.sqrt(np.maximum(norm2 - (sample * sample).sum(axis=1), 0))])
-    annuli = params.annuli
-    draft = Index(dim, largest, norm2, _far_points(lifted, params.pivots), max(2 * np.sqrt(norm2), 1.0) / annuli, np.zeros(1), np.zeros(1))
+    scaled = sample / unit
+    lifted = np.column_stack([scaled, np.sqrt(np.maximum(norm2 - (scaled * scaled).sum(axis=1), 0))])
+    annuli, n_pivots = params.annuli, min(params.most_pivots, max(params.pivots, math.isqrt(count) // 16))
+    draft = Index(dim, unit, norm2, _far_points(lifted, n_pivots), 1.0, np.zeros(1), np.zeros(1))
     # Annuli are as wide as the sample's distances ask; the outermost takes what lies beyond.
     reach = draft.distances(lifted).min(axis=1).max()
-    draft = Index(dim, largest, norm2, draft.pivots, max(float(reach), 1e-9) / annuli, np.zeros(1), np.zeros(1))
+    draft = Index(dim, unit, norm2, draft.pivots, max(float(reach), 1e-9) / annuli, np.zeros(1), np.zeros(1))
     draft_b = spark.sparkContext.broadcast(draft)
 
     def key(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +206,23 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
             cell, near = draft_b.value.cells(_matrix(batch.column("v"), dim), annuli) if batch.num_rows else (np.zeros(0, np.int64), np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(near)], names=["id", "v", "cell", "near"])
 
-    keyed = materialise(ints.mapInArrow(key, "id long, v array<long>, cell int, near double"), "topk-keyed")
+    keyed = materialise(ints.mapInArrow(key, "id long, v array<double>, cell int, near double"), "topk-keyed")
     cells = len(draft.pivots) * annuli
-    low, high = np.full(cells, np.inf), np.full(cells, -np.inf)
-    for r in keyed.groupBy("cell").agg(F.min("near").alias("lo"), F.max("near").alias("hi")).collect():  # pivots * annuli rows at most
+    low, high, keys = np.full(cells, np.inf), np.full(cells, -np.inf), np.ones(cells, np.int64)
+    for r in keyed.groupBy("cell").agg(F.min("near").alias("lo"), F.max("near").alias("hi"), F.count("*").alias("n")).collect():  # pivots * annuli rows at most
         low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
-    index = Index(dim, largest, norm2, draft.pivots, draft.width, low, high)
-    shared = spark.sparkContext.broadcast((index, sample_ids, sample))
+        keys[r["cell"]] = -(-r["n"] // (params.data_block * params.key_blocks))
+    index = Index(dim, unit, norm2, draft.pivots, draft.width, low, high)
+    shared = spark.sparkContext.broadcast((index, sample_ids, sample, keys))
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows of annuli to blocks of bounded size."""
         held_cell, ids, vs = None, [], []
+        keys = shared.value[3]
 
         def out() -> list[tuple]:
-            return [(held_cell, np.array(ids, "<i8").tobytes(), np.concatenate(vs).astype("<f8").tobytes())] if ids else []
+            # A large annulus has several keys; a block's first row picks one.
+            return [(held_cell * KEYS + ids[0] % int(keys[held_cell]), np.array(ids, "<i8").tobytes(), np.concatenate(vs).astype("<f8").tobytes())] if ids else []
 
         for batch in rows:
             done: list[tuple] = []
@@ -191,7 +240,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Query rows to blocks for each annulus that can still hold one of a query's best."""
-        index, known_ids, known = shared.value
+        index, known_ids, known, keys = shared.value
         for batch in rows:
             for at in range(0, batch.num_rows, params.query_block):
                 part = batch.slice(at, params.query_block)
@@ -202,15 +251,17 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
                 threshold = np.full(len(ids), -np.inf)
                 for i in range(len(ids)):
                     others = np.sort(near[i][~own[i]])
-                    if len(others) >= params.k:
+                    if len(others) >= params.k and others[-params.k] > LOWEST:
                         threshold[i] = float(others[-params.k])
                 bound = index.bounds(q, annuli)
                 done = []
                 for cell in np.flatnonzero(np.isfinite(index.low)):
-                    takes = bound[:, cell] >= threshold
+                    takes = bound[:, cell] >= threshold / unit / unit
                     if takes.any():
-                        body = np.column_stack([q[takes], np.where(np.isfinite(threshold[takes]), threshold[takes], -(2.0**62))])
-                        done.append((int(cell), ids[takes].astype("<i8").tobytes(), body.astype("<f8").tobytes()))
+                        # Less what the threshold was rounded by.
+                        body = np.column_stack([q[takes], threshold[takes] - 1e-9 * np.where(np.isfinite(threshold[takes]), np.abs(threshold[takes]), 0)])
+                        load = ids[takes].astype("<i8").tobytes(), body.astype("<f8").tobytes()
+                        done += [(int(cell) * KEYS + k, *load) for k in range(int(keys[cell]))]
                 yield _rows(done)
 
     asked = ints.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, PAYLOAD)
@@ -238,5 +289,5 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["cell", "ids", "vectors"])

@@ -1,18 +1,19 @@
 import math
 import random
+import warnings
 
-from labspark.llm.op4_topk import TopKParams, top_k
+import numpy as np
+
+from labspark.llm.op4_topk import HIGHEST, LOWEST, TopKParams, scores, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, k):
-    import numpy as np
-
     good = [(i, [math.floor(256.0 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, qv in sorted({i: min(v for j, v in good if j == i) for i, _ in good if i % 5 == 0}.items()):
-        scored = sorted(((-sum(a * b for a, b in zip(qv, v, strict=False)), i) for i, v in good if i != q))[:k]
+        scored = sorted((-max(LOWEST, min(HIGHEST, sum(a * b for a, b in zip(qv, v, strict=False)))), i) for i, v in good if i != q)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return out
 
@@ -35,3 +36,26 @@ def test_few_and_large(spark):
     check(spark, [(0, [1.0], 0)])
     check(spark, [(i, [1e6 * i, -3e6], 0) for i in range(12)], sample=4, pivots=2)
     assert top_k(spark.createDataFrame([], SCHEMA), lambda v: v % 5 == 0).collect() == []
+
+
+def test_scores_near_and_beyond_the_range_of_a_long(spark):
+    rng = random.Random(5)
+    for size in (1e4, 9e5, 3e6, 2e7, 1e12, 3e38):
+        rows = [(i, [rng.uniform(-size, size) for _ in range(6)], 0) for i in range(60)] + [(100 + i, [size] * 6, 0) for i in range(3)] + [(110, [-size] * 6, 0), (111, [0.0] * 6, 0)]
+        check(spark, rows, sample=20, pivots=4, annuli=4, data_block=8, query_block=4, key_blocks=1)
+
+
+def test_products_are_exact_at_any_size():
+    rng = random.Random(6)
+    for bits in (10, 26, 40, 62, 130, 300):
+        q, x = ([[float(rng.randint(-(1 << bits), 1 << bits)) for _ in range(9)] for _ in range(n)] for n in (4, 7))
+        want = [[max(LOWEST, min(HIGHEST, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for v in x] for u in q]
+        assert scores(np.array(q), np.array(x), max(abs(c) for v in q + x for c in v)).tolist() == want
+
+
+def test_no_warnings_and_columns_of_any_name(spark):
+    rows = [(i, [float(i), 1.0], i) for i in range(20)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("label", "cell")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        assert top_k(table, lambda v: v % 5 == 0).count() == 20
