@@ -18,11 +18,11 @@ members of a large one meet in blocks of bounded size, which give a spanning for
 pairs that pass. Every link so lies within a component of the candidate edges, a cluster.
 
 Clusters are compared by their words, in blocks whose links leave as spanning forests. A
-small cluster is one block. In a large one each member first meets its candidate neighbour
-of most candidate edges, with the others that chose it: two such rounds send each text a few
-times and link nearly all. Only members that are still apart from their cluster's largest
-part then meet all of the cluster, block by block. No step holds an unbounded group or emits
-all pairs of one, and no step drops a candidate.
+small cluster is one block. The members of a large one first meet its hub, the member of
+most candidate edges, and those not linked to it their best neighbour among those that are:
+so each text is sent a few times and nearly all are linked. Only members that are still
+apart then meet all of the cluster, block by block. No step holds an unbounded group or
+emits all pairs of one, and no step drops a candidate.
 
 Hashes only propose. Sets count as equal by 128 bits, of which the half that serves as key
 is looked through for clashes; every other link is decided on the words themselves.
@@ -347,9 +347,10 @@ def exact_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 def _verify(params: JaccardParams):
     """Links within each block of a cluster; rows come sorted by (cluster, i, j, node)."""
 
-    def links(held: dict[int, list]) -> list[tuple[int, int]]:
+    def links(hub: int | None, held: dict[int, list]) -> list[tuple[int, int]]:
         nodes = list(held)
-        return [(nodes[x], nodes[y]) for x, y in linked(exact_sets([_text_of(own, params) for own in held.values()], params.width), params)]
+        found = [(nodes[x], nodes[y]) for x, y in linked(exact_sets([_text_of(own, params) for own in held.values()], params.width), params)]
+        return found if hub not in held else found + [(hub, n) for n in _tree(hub, found) if n != hub]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -358,16 +359,31 @@ def _verify(params: JaccardParams):
             at = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "check")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
             for cluster, i, j, node, check, text in at:
                 if (cluster, i, j) != now:
-                    found += links(held)
+                    found += links(now and now[0], held)
                     now, held = (cluster, i, j), {}
                 if text is not None and (check, text) not in (own := held.setdefault(node, [])):
                     own.append((check, text))
             yield _edges_of(found)
-        yield _edges_of(links(held))
+        yield _edges_of(links(now and now[0], held))
 
     return run
 
 
+def _tree(root: int, edges: list[tuple[int, int]]) -> set[int]:
+    """The nodes that edges connect with root."""
+    beside: dict[int, list[int]] = {}
+    for a, b in edges:
+        beside.setdefault(a, []).append(b)
+        beside.setdefault(b, []).append(a)
+    known, todo = {root}, [root]
+    while todo:
+        for n in beside.get(todo.pop(), ()):
+            if n not in known:
+                known.add(n)
+                todo.append(n)
+    return known
+
+
 def _text_of(own: list[tuple[int, bytes]], params: JaccardParams) -> bytes:
     """The text of a node among those of the rows that share its doc_id."""
     if len(own) > 1:
@@ -387,8 +403,11 @@ def _blocks(rows: DataFrame, chunks: str) -> DataFrame:
 
 
 def _links(docs: DataFrame, dealt: DataFrame, params: JaccardParams) -> DataFrame:
-    """The links (a, b) within each block (cluster, i, j) of dealt (with node, check and rep, whose text is compared)."""
-    dealt = materialise(dealt.select("cluster", "i", "j", "node", "check", F.col("rep").alias("doc_id")).distinct(), "dealt")
+    """The links (a, b) within each block (cluster, i, j) of dealt (with node, check and rep, whose text is compared).
+
+    A block whose cluster is a node that it holds also gives (cluster, b) for all that are linked to that node.
+    """
+    dealt = materialise(dealt.select("cluster", "i", "j", "node", "check", F.col("rep").alias("doc_id")), "dealt")
     texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bucket", bucket(F.col("doc_id"))).join(buckets(dealt, "doc_id"), "bucket", "left_semi")
     links = (
         texts.join(dealt, "doc_id")
@@ -397,7 +416,7 @@ def _links(docs: DataFrame, dealt: DataFrame, params: JaccardParams) -> DataFram
         .sortWithinPartitions("cluster", "i", "j", "node")
         .mapInArrow(_verify(params), "a long, b long")
     )
-    links = materialise(links.distinct(), "links")
+    links = materialise(links, "links")
     discard(dealt)
     return links
 
@@ -406,9 +425,8 @@ def _chunks(params: JaccardParams):
     return F.greatest(F.ceil(F.count("*") / params.chunk_rows), F.ceil(F.sum("n") / params.chunk_shingles)).cast("int")
 
 
-def _by_hub(rows: DataFrame, chosen: DataFrame, params: JaccardParams) -> DataFrame:
-    """Blocks of rows: chosen (node, hub) in chunks by hub, with the hub itself in each chunk."""
-    wanted = materialise(chosen.join(rows, "node"), "chosen")
+def _by_hub(wanted: DataFrame, rows: DataFrame, params: JaccardParams) -> DataFrame:
+    """Blocks of wanted (rows with a hub) in chunks by hub, with the hub itself in each chunk."""
     shape = materialise(wanted.groupBy("hub").agg(_chunks(params).alias("chunks")), "shape")
     part = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     zero = F.lit(0).alias("j")
@@ -417,48 +435,41 @@ def _by_hub(rows: DataFrame, chosen: DataFrame, params: JaccardParams) -> DataFr
     return own.unionByName(hubs)
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with part, the component of links that holds the node, and apart: it is not its cluster's largest."""
-    found = rows.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    found = materialise(found, "parts")
-    size = found.groupBy("component_of", "part").agg(F.count("*").alias("size"))
-    most = size.groupBy("component_of").agg(F.max(F.struct("size", "part"))["part"].alias("main"))
-    return materialise(found.join(most, "component_of").withColumn("apart", F.col("part") != F.col("main")).drop("main"), "apart")
-
-
-def _large_clusters(docs: DataFrame, rows: DataFrame, near: DataFrame, params: JaccardParams) -> list[DataFrame]:
-    """Links of large clusters: rows are node, component_of, check, rep and n, near the candidate edges."""
-    edges = near.join(rows.select(F.col("node").alias("a")), "a", "left_semi")
-    edges = materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("hub")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("hub"))), "hub-edges")
-    degree = materialise(edges.groupBy(F.col("node").alias("hub")).agg(F.count("*").alias("degree")), "degree")
-    ranked = edges.join(degree, "hub")
-    choice = F.max(F.struct("degree", "hub"))["hub"].alias("hub")
-    # A node of more edges than its neighbours is its own hub.
-    first = materialise(ranked.unionByName(degree.select(F.col("hub").alias("node"), "hub", "degree")).groupBy("node").agg(choice), "first")
-    links = [_links(docs, _by_hub(rows, first, params), params)]
-    state = _labelled(rows, links[0])
-    apart = state.filter("apart")
-    if apart.isEmpty():
-        return links
-    # Members apart try their best neighbour in another part.
-    part = state.select("node", "part")
-    across = ranked.join(apart.select("node", F.col("part").alias("own")), "node").join(part.withColumnRenamed("node", "hub"), "hub").filter("own <> part")
-    second = across.join(first, ["node", "hub"], "left_anti").groupBy("node").agg(choice)
-    links.append(_links(docs, _by_hub(rows, second, params), params))
-    state = _labelled(rows, links[0].unionByName(links[1]))
-    apart = state.filter("apart")
+def _crowded_links(docs: DataFrame, rows: DataFrame, near: DataFrame, whole: DataFrame, params: JaccardParams) -> list[DataFrame]:
+    """Links of the blocks of whole, and of large clusters: rows (node, component_of, check, rep, n) near the candidate edges."""
+    edges = near.join(rows.select(F.col("node").alias("a"), "component_of"), "a")
+    edges = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "component_of").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "component_of"))
+    edges = materialise(edges, "cluster-edges")
+    degree = materialise(edges.groupBy("component_of", F.col("node").alias("other")).agg(F.count("*").alias("degree")), "degree")
+    hubs = materialise(degree.groupBy("component_of").agg(F.max(F.struct("degree", "other"))["other"].alias("hub")), "hubs")
+    first = materialise(rows.join(hubs, "component_of"), "first")
+    links = _links(docs, whole.unionByName(_by_hub(first, rows, params)), params)
+    # Parts by the hub: what the blocks found linked to it, and the hub.
+    joined = links.join(hubs.select(F.col("hub").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).unionByName(hubs.select(F.col("hub").alias("node"))).distinct()
+    joined = materialise(joined, "joined")
+    apart = materialise(first.drop("hub").join(joined, "node", "left_anti"), "apart")
+    found = [links]
     if apart.isEmpty():
-        return links
+        return found
+    ranked = edges.drop("component_of").join(apart.select("node"), "node", "left_semi").join(joined.withColumnRenamed("node", "other"), "other", "left_semi")
+    ranked = ranked.join(hubs.select(F.col("hub").alias("other")), "other", "left_anti").join(degree.select("other", "degree"), "other")
+    second = materialise(ranked.groupBy("node").agg(F.max(F.struct("degree", "other"))["other"].alias("hub")).join(apart, "node"), "second")
+    if not second.isEmpty():
+        links = _links(docs, _by_hub(second, rows, params), params)
+        found.append(links)
+        more = links.join(second.select(F.col("hub").alias("a")).distinct(), "a", "left_semi").select(F.col("b").alias("node"))
+        apart = materialise(apart.join(more, "node", "left_anti"), "apart")
+        if apart.isEmpty():
+            return found
     # What is still apart meets all of its cluster.
     few = materialise(apart.groupBy("component_of").agg(_chunks(params).alias("few")), "shape")
-    many = materialise(state.join(few, "component_of").groupBy("component_of").agg(_chunks(params).alias("many"), F.max("few").alias("few")), "shape")
-    dealt = state.join(many, "component_of")
+    many = materialise(rows.join(few, "component_of").groupBy("component_of").agg(_chunks(params).alias("many"), F.max("few").alias("few")), "shape")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     columns = (F.col("component_of").alias("cluster"), "i", "j", "node", "check", "rep")
-    asking = dealt.filter("apart").select("*", own("few").alias("i"), spread("many").alias("j")).select(*columns)
-    asked = dealt.select("*", spread("few").alias("i"), own("many").alias("j")).select(*columns)
-    return [*links, _links(docs, asking.unionByName(asked), params)]
+    asking = apart.join(many, "component_of").select("*", own("few").alias("i"), spread("many").alias("j")).select(*columns)
+    asked = rows.join(many, "component_of").select("*", spread("few").alias("i"), own("many").alias("j")).select(*columns)
+    return [*found, _links(docs, asking.unionByName(asked), params)]
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams()) -> DataFrame:
@@ -482,16 +493,14 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = JaccardParams())
     sizes = materialise(large.groupBy("key").agg(F.ceil(F.count("*") / params.sketch_rows).cast("int").alias("chunks")), "sizes")
     crowd = _blocks(large.join(sizes, "key"), "chunks").select("key", "i", "j", "node").join(nodes.select("node", "n", "sketch"), "node")
     forests = crowd.repartitionByRange("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_large_groups(params), "a long, b long")
-    near = materialise(near.unionByName(forests).distinct(), "near")
+    near = materialise(near.unionByName(forests), "near")
     discard(met, sizes)
 
     members = materialise(components(near).join(nodes.select("node", "check", "rep", "n"), "node").withColumnRenamed("component", "component_of"), "members")
     shape = materialise(members.groupBy("component_of").agg(_chunks(params).alias("chunks")), "shape")
     whole = members.join(shape.filter("chunks = 1"), "component_of").select(F.col("component_of").alias("cluster"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "check", "rep")
-    links = [_links(docs, whole, params)]
     crowded = materialise(members.join(shape.filter("chunks > 1"), "component_of").drop("chunks"), "crowded")
-    if not crowded.isEmpty():
-        links += _large_clusters(docs, crowded, near, params)
+    links = [_links(docs, whole, params)] if crowded.isEmpty() else _crowded_links(docs, crowded, near, whole, params)
     linked_ = links[0]
     for more in links[1:]:
         linked_ = linked_.unionByName(more)
