@@ -16,7 +16,7 @@ CODONS = [a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"]
 ENZYMES = {"BamHI": ("GGATCC", 1), "EcoRI": ("GAATTC", 1), "EcoRV": ("GATATC", 3), "HaeIII": ("GGCC", 2), "HindIII": ("AAGCTT", 1), "KpnI": ("GGTACC", 5), "NotI": ("GCGGCCGC", 2), "PstI": ("CTGCAG", 5), "SmaI": ("CCCGGG", 3), "XhoI": ("CTCGAG", 1)}
 # Hydropathy of amino acids (Kyte and Doolittle).
 HYDROPATHY = {"A": 1.8, "R": -4.5, "N": -3.5, "D": -3.5, "C": 2.5, "Q": -3.5, "E": -3.5, "G": -0.4, "H": -3.2, "I": 4.5, "L": 3.8, "K": -3.9, "M": 1.9, "F": 2.8, "P": -1.6, "S": -0.8, "T": -0.7, "W": -0.9, "Y": -1.3, "V": 4.2}
-#: Letters of the IUPAC codes as four-bit sets of bases.
+# Letters of the IUPAC codes as four-bit sets of bases.
 MASKS = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
 
 
@@ -60,39 +60,42 @@ def gc3_percent(seq: Column) -> Column:
     return gc_percent(F.array_join(F.transform(codons(seq), lambda c: F.substr(c, F.lit(3), F.lit(1))), ""))
 
 
-#: Amino acids in the order of codon_index: bases as A, C, T, G.
-_BY_INDEX = [CODE[CODONS.index(a + b + c)] for a in "ACTG" for b in "ACTG" for c in "ACTG"]
+#: IUPAC letters by their set of bases, 1 to 15; and the amino acid of each three sets, where all their codons agree.
+_BY_MASK = "".join(next(c for c in "ACGTRYSWKMBDHVN" if MASKS[c] == m) for m in range(1, 16))
 
 
-def codon_index(codon: Column) -> Column:
-    """0 to 63 from the second and third bits of the letters, which tell A, C, T and G apart."""
-    two = lambda k: F.shiftright(F.ascii(F.substr(codon, F.lit(k), F.lit(1))), 1).bitwiseAND(F.lit(3))
-    return two(1) * 16 + two(2) * 4 + two(3)
+def _agreed(masks: tuple[int, int, int]) -> str:
+    sets = [[b for b in "TCAG" if MASKS[b] & m] for m in masks]
+    found = {CODE[CODONS.index(a + b + c)] for a in sets[0] for b in sets[1] for c in sets[2]}
+    return found.pop() if len(found) == 1 else "X"
+
+
+_AGREED = "".join(_agreed((a, b, c)) for a in range(16) for b in range(16) for c in range(16))
 
 
 def amino_acid(codon: Column) -> Column:
-    """The amino acid of a codon, * for a stop; NULL with other letters than ACGT."""
-    return F.when((F.length(codon) == 3) & (F.translate(codon, "ACGT", "") == ""), F.get(F.array(*(F.lit(a) for a in _BY_INDEX)), codon_index(codon)))
+    """The amino acid of a codon, * for a stop; of an ambiguous one that on which all its codons agree. Else NULL."""
+    letter = lambda k: F.instr(F.lit(_BY_MASK), F.replace(F.substr(codon, F.lit(k), F.lit(1)), F.lit("U"), F.lit("T")))
+    found = F.substr(F.lit(_AGREED), letter(1) * 256 + letter(2) * 16 + letter(3) + 1, F.lit(1))
+    return F.when((F.length(codon) == 3) & (F.translate(codon, _BY_MASK + "U", "") == "") & (found != "X"), found)
 
 
 def translate(seq: Column, frame: int = 0) -> Column:
-    """Protein of one frame; * is a stop, X a codon with other letters than ACGT."""
+    """Protein of one frame; * is a stop, X a codon whose meanings differ or with other letters."""
     return F.array_join(F.transform(codons(seq, frame), lambda c: F.coalesce(amino_acid(c), F.lit("X"))), "")
 
 
-_LETTER = np.full(256, 64, np.uint8)
-_LETTER[[ord(c) for c in "ACTG"]] = range(4)
-_PROTEIN = np.full(64 * 21 + 1, ord("X"), np.uint8)
-for _i, _a in enumerate(_BY_INDEX):
-    _PROTEIN[_i] = ord(_a)
+_LETTER = np.zeros(256, np.uint8)
+_LETTER[[ord(c) for c in MASKS]] = list(MASKS.values())
+_PROTEIN = np.frombuffer(_AGREED.encode(), np.uint8)
 
 
 def translate_bytes(seq: bytes, frame: int = 0) -> str:
-    """translate for one text: three lookups a codon, over the whole text at once."""
+    """translate for one text: a lookup a letter and one a codon, over the whole text at once."""
     own = _LETTER[np.frombuffer(seq, np.uint8)[frame:]]
     n = len(own) // 3
     own = own[: 3 * n].reshape(n, 3).astype(np.int64)
-    return _PROTEIN[own @ np.array([16, 4, 1])].tobytes().decode("ascii")
+    return _PROTEIN[own @ np.array([256, 16, 1])].tobytes().decode("ascii")
 
 
 def translated(seq: Column, frame: int = 0) -> Column:

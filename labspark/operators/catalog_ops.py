@@ -64,13 +64,15 @@ def interactions(inhibitors: DataFrame, substrates: DataFrame) -> DataFrame:
 
 
 def banded_notes(subjects: DataFrame, bands: DataFrame, value: str) -> DataFrame:
-    """subjects with the note of the band (low <= value < high, of the same gene) that comes first; left outer.
+    """subjects with the note of the band (low <= value < high, of the same gene) that comes first, else a null note.
 
-    bands is a rule table of a few rows, joined on the gene.
+    Each row of subjects gets a row, repeats too. bands is a rule table of a few rows; the
+    different pairs of gene and value meet it on the gene.
     """
-    cond = (F.col("b.gene") == F.col("s.gene")) & (F.col(f"s.{value}") >= F.col("b.low")) & (F.col(f"s.{value}") < F.col("b.high"))
-    joined = subjects.alias("s").join(bands.alias("b"), cond, "left")
-    return joined.groupBy(*(F.col(f"s.{c}") for c in subjects.columns)).agg(F.min_by(F.col("b.note"), F.col("b.seq")).alias("note"))
+    asked = subjects.select(F.col("gene").alias("g"), F.col(value).alias("v")).distinct()
+    cond = (F.col("g") == F.col("gene")) & (F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))
+    notes = asked.join(bands, cond).groupBy("g", "v").agg(F.min_by("note", "seq").alias("note"))
+    return subjects.join(notes, (subjects["gene"] == F.col("g")) & (subjects[value] == F.col("v")), "left").drop("g", "v")
 
 
 def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:

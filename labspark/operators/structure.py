@@ -75,23 +75,28 @@ def kabsch(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]
 def superpose(pairs: DataFrame, group: str) -> DataFrame:
     """n and rmsd after superposition by group; pairs have x, y, z and mx, my, mz. Fewer than three pairs: NULL.
 
-    Superposition needs only sums of products, so groups of any size reduce to one row
-    natively before the small decomposition.
+    The rotation needs only covariances, which Spark keeps centred as it merges them, so
+    groups of any size reduce to one row natively before the small decomposition. The RMSD
+    is then measured on the rotated points themselves, as a difference of sums would lose
+    half of the digits.
     """
-    sums = [F.sum(F.col(a) * F.col(f"m{b}")).alias(f"s{a}{b}") for a in XYZ for b in XYZ]
-    squares = F.sum(sum((F.col(c) * F.col(c) for c in (*XYZ, "mx", "my", "mz")), F.lit(0.0))).alias("squares")
-    rows = pairs.groupBy(group).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"p{c}") for c in XYZ), *(F.avg(f"m{c}").alias(f"q{c}") for c in XYZ), *sums, squares)
+    cov = [F.covar_pop(F.col(a), F.col(f"m{b}")).alias(f"s{a}{b}") for a in XYZ for b in XYZ]
+    rows = pairs.groupBy(group).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"p{c}") for c in XYZ), *(F.avg(f"m{c}").alias(f"q{c}") for c in XYZ), *cov)
 
-    @F.pandas_udf("double")
-    def rmsd(parts: pd.DataFrame) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def rotation(parts: pd.DataFrame) -> pd.Series:
         out = []
         for r in parts.itertuples(index=False):
-            cp, cq = np.array([r.px, r.py, r.pz]), np.array([r.qx, r.qy, r.qz])
-            cov = np.array([[getattr(r, f"s{a}{b}") for b in XYZ] for a in XYZ]) - r.n * np.outer(cp, cq)
-            u, s, vt = np.linalg.svd(cov)
-            s[2] *= np.sign(np.linalg.det(u @ vt)) or 1.0
-            left = r.squares - r.n * (cp @ cp + cq @ cq) - 2 * s.sum()
-            out.append(np.sqrt(max(left, 0.0) / r.n) if r.n >= 3 else None)
-        return pd.Series(out, dtype="float64")
-
-    return rows.select(group, "n", rmsd(F.struct(*[c for c in rows.columns if c != group])).alias("rmsd"))
+            u, _, vt = np.linalg.svd(np.array([[getattr(r, f"s{a}{b}") for b in XYZ] for a in XYZ]))
+            turn = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
+            out.append((vt.T @ turn @ u.T).ravel().tolist())
+        return pd.Series(out)
+
+    names = [c for c in rows.columns if c.startswith("s") and c != group]
+    fits = rows.withColumn("turn", rotation(F.struct(*names))).select(F.col(group).alias("fit"), "n", "turn", *(f"{s}{c}" for s in "pq" for c in XYZ))
+    both = pairs.join(fits, pairs[group].eqNullSafe(F.col("fit")))
+    left = [F.col(c) - F.col(f"p{c}") for c in XYZ]
+    off = [sum((F.col("turn")[3 * i + j] * left[j] for j in range(1, 3)), F.col("turn")[3 * i] * left[0]) - (F.col(f"m{c}") - F.col(f"q{c}")) for i, c in enumerate(XYZ)]
+    square = off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+    got = both.groupBy(group).agg(F.max("n").alias("n"), F.sqrt(F.avg(square)).alias("rmsd"))
+    return got.select(group, "n", F.when(F.col("n") >= 3, F.col("rmsd")).alias("rmsd"))

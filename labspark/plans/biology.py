@@ -36,8 +36,8 @@ def _lddt(s, d):
 
 def _superpose(s, d):
     p = points(s, d)
-    pairs = p.select("chain", "x", "y", "z", (-F.col("y")).alias("mx"), F.col("x").alias("my"), (F.col("z") + 0.5).alias("mz"))
-    return rounded(structure.superpose(pairs, "chain"), "rmsd", places=5)
+    pairs = p.select("chain", "x", "y", "z", (-1.1 * F.col("y")).alias("mx"), (1.1 * F.col("x")).alias("my"), (1.1 * F.col("z") + 5000.0).alias("mz"))
+    return rounded(structure.superpose(pairs, "chain"), "rmsd")
 
 
 def _region_labels(s, d):
@@ -93,7 +93,7 @@ pr AS (SELECT a.atom AS i, b.atom AS j, sqrt({_D2}) AS d FROM points a JOIN poin
 c AS (SELECT i, abs(d - sqrt({_D2})) AS e FROM pr JOIN m a ON a.atom = i JOIN m b ON b.atom = j)
 SELECT i AS atom, count(*) AS pairs, round(avg(((e < 0.005::DOUBLE)::INT + (e < 0.01::DOUBLE)::INT + (e < 0.02::DOUBLE)::INT + (e < 0.04::DOUBLE)::INT) / 4.0::DOUBLE), 6) AS lddt FROM c GROUP BY 1""",
     "centroid_moments": f"WITH {POINTS} SELECT chain, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS cx, round(avg(y), 6) + 0.0::DOUBLE AS cy, round(avg(z), 6) + 0.0::DOUBLE AS cz, round(sqrt(avg(x * x + y * y + z * z) - avg(x) * avg(x) - avg(y) * avg(y) - avg(z) * avg(z)), 6) AS gyration FROM points GROUP BY chain",
-    "superpose": f"WITH {POINTS} SELECT chain, count(*) AS n, CASE WHEN count(*) >= 3 THEN 0.0::DOUBLE END AS rmsd FROM points GROUP BY chain",
+    "superpose": f"WITH {POINTS} SELECT chain, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(0.1::DOUBLE * sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) END AS rmsd FROM points GROUP BY chain",
     "degree": f"WITH {EDGES}, e AS (SELECT source AS node, weight FROM edges UNION ALL SELECT target, weight FROM edges) SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS strength FROM e GROUP BY node",
     "edge_filter": f"WITH {EDGES} SELECT source, target, weight, 'self-loop' AS reason FROM edges WHERE source = target",
     "components": """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1::DOUBLE),

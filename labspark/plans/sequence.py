@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labspark.functions import sequence as seq
+from labspark.operators.biologics import LIABILITIES, liabilities
 from labspark.operators import alignment_columns as cols
 from labspark.plans.views import SEQS, rounded, sequences
 
@@ -37,8 +38,7 @@ def _frames(s, d):
 
 def _motifs(s, d):
     rows = sequences(s, d).select("doc_id", seq.translated(F.col("seq")).alias("protein"))
-    count = lambda p: F.size(F.regexp_extract_all("protein", F.lit(p), 0))
-    return rows.select("doc_id", count("N[^P][ST]").alias("glycosylation"), count("N[GS]").alias("deamidation"), count("D[GP]").alias("cleavage"), count("[MW]").alias("oxidation"))
+    return liabilities(rows, "doc_id", "protein").groupBy("doc_id", "liability").agg(F.count("*").alias("n"), F.min("position").cast("int").alias("first"), F.min("motif").alias("motif"))
 
 
 def _protein(s, d):
@@ -115,8 +115,9 @@ SELECT doc_id, {', '.join(f"md5({_translate('seq' if s == 'f' else 'back', k)})
     "digest_fragments": f"""WITH {SEQS}, c AS (SELECT doc_id, length(seq) AS n, list_transform(string_split(seq, 'GGCC'), lambda x: length(x)) AS parts FROM seqs),
 f AS (SELECT doc_id, n, list_transform(parts, lambda x, i: x + CASE WHEN i > 1 THEN 2 ELSE 0 END + CASE WHEN i < len(parts) THEN 2 ELSE 0 END) AS f FROM c)
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(len(f) AS INTEGER) AS n_fragments, CAST(list_max(f) AS INTEGER) AS longest, CAST(list_min(f) AS INTEGER) AS shortest, CAST(list_sum(f) AS INTEGER) AS total FROM f""",
-    "motif_scan": f"""WITH {SEQS}, t AS (SELECT doc_id, {_translate('seq')} AS p FROM seqs)
-SELECT doc_id, CAST(len(regexp_extract_all(p, 'N[^P][ST]')) AS INTEGER) AS glycosylation, CAST(len(regexp_extract_all(p, 'N[GS]')) AS INTEGER) AS deamidation, CAST(len(regexp_extract_all(p, 'D[GP]')) AS INTEGER) AS cleavage, CAST(len(regexp_extract_all(p, '[MW]')) AS INTEGER) AS oxidation FROM t""",
+    "motif_scan": f"""WITH {SEQS}, t AS (SELECT doc_id, {_translate('seq')} AS p FROM seqs), r(liability, pattern) AS (VALUES {', '.join(f"('{n}', '{p}')" for n, p in LIABILITIES.items())}),
+f AS (SELECT doc_id, liability, p, pattern, regexp_extract_all(p, pattern) AS m FROM t, r WHERE liability <> 'free C' OR len(regexp_extract_all(p, 'C')) % 2 = 1)
+SELECT doc_id, liability, len(m) AS n, CAST(length(regexp_extract(p, '^(.*?)(' || regexp_replace(pattern, '^\\^', '') || ')', 1)) * CAST(liability <> 'C-terminal K' AS INTEGER) + CASE WHEN liability = 'C-terminal K' THEN length(p) - 1 ELSE 0 END AS INTEGER) AS first, list_min(m) AS motif FROM f WHERE len(m) > 0""",
     "protein_properties": f"""WITH {SEQS}, t AS (SELECT doc_id, replace({_translate('seq')}, '*', '') AS p FROM seqs),
 c AS (SELECT doc_id, p, {', '.join(f"{_n(a)} AS n{a}" for a in seq.HYDROPATHY)} FROM t WHERE length(p) > 0)
 SELECT doc_id, round(({' + '.join(f"{v}::DOUBLE * n{a}" for a, v in seq.HYDROPATHY.items())}) / nullif({' + '.join(f"n{a}" for a in seq.HYDROPATHY)}, 0), 9) + 0.0::DOUBLE AS gravy,

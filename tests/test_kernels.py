@@ -198,3 +198,83 @@ def test_formulas():
     assert formula.balance(["C3H8", "O2"], ["CO2", "H2O"]) == [1, 5, 3, 4] and formula.balance(["MnO4-", "H+", "Fe+2"], ["FeO"]) is None and formula.balance(["H2"], ["O2"]) is None
     assert formula.solution_ph(0.1, [4.76], 0) == pytest.approx(2.88, abs=0.01) and formula.mean_charge(4.76, [4.76], 0) == pytest.approx(-0.5)
     assert formula.log_d(7.4, 3.0, [4.4], 0) == pytest.approx(3 - math.log10(1 + 10**3), abs=1e-9)
+
+
+def spelled(edges, n, rng):
+    """A SMILES of a carbon skeleton written in a random order, with all ring bonds as closures."""
+    order = list(range(n))
+    rng.shuffle(order)
+    near = {i: [] for i in range(n)}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    for i in near:
+        rng.shuffle(near[i])
+    label, seen, used = {}, set(), set()
+
+    def walk(v, parent):
+        seen.add(v)
+        text, branches = "C", []
+        for m in near[v]:
+            key = frozenset((v, m))
+            if m == parent or key in used:
+                continue
+            if m in seen:
+                used.add(key)
+                label[key] = len(label) + 1
+                closures[v].append(label[key])
+                closures[m].append(label[key])
+            else:
+                used.add(key)
+                branches.append(walk(m, v))
+        tree[v] = branches
+        return v
+
+    closures, tree = {i: [] for i in range(n)}, {}
+    start = walk(order[0], None)
+
+    def write(v):
+        own = "C" + "".join(f"%{c:02d}" for c in closures[v])
+        parts = [write(b) for b in tree[v]]
+        return own + "".join(f"({p})" for p in parts[:-1]) + (parts[-1] if parts else "")
+
+    return write(start)
+
+
+def test_canonical_form_of_symmetric_cages():
+    import random
+
+    rng = random.Random(2)
+    cages = {
+        "cube": ([(a, a ^ b) for a in range(8) for b in (1, 2, 4) if a < a ^ b], 8),
+        "petersen": ([(i, (i + 1) % 5) for i in range(5)] + [(i, i + 5) for i in range(5)] + [(5 + i, 5 + (i + 2) % 5) for i in range(5)], 10),
+        "prism": ([(i, (i + 1) % 7) for i in range(7)] + [(7 + i, 7 + (i + 1) % 7) for i in range(7)] + [(i, i + 7) for i in range(7)], 14),
+        "dodecahedron": ([(i, (i + 1) % 10) for i in range(10)] + [(i, 10 + i) for i in range(10)] + [(10 + i, 10 + (i + 2) % 10) for i in range(10)], 20),
+    }
+    for trial in range(12):  # random cubic skeletons
+        while True:
+            ends = [i for i in range(14) for _ in range(3)]
+            rng.shuffle(ends)
+            edges = {frozenset(e) for e in zip(ends[::2], ends[1::2], strict=True)}
+            if len(edges) == 21 and all(len(e) == 2 for e in edges):
+                seen, todo = {0}, [0]
+                while todo:
+                    v = todo.pop()
+                    for e in edges:
+                        if v in e and (m := next(iter(e - {v}))) not in seen:
+                            seen.add(m)
+                            todo.append(m)
+                if len(seen) == 14:
+                    break
+        cages[f"random {trial}"] = ([tuple(e) for e in edges], 14)
+    for name, (edges, n) in cages.items():
+        forms = {chem.canonical_smiles(chem.molecule(spelled(edges, n, rng))) for _ in range(8)}
+        assert len(forms) == 1, (name, forms)
+
+
+def test_canonical_form_of_many_equal_branches():
+    phenyl = "c1ccccc1"
+    text = chem.canonical_smiles(chem.molecule("C(" + ")(".join([phenyl] * 3) + ")C(" + phenyl + ")(" + phenyl + ")" + phenyl))
+    assert text == chem.canonical_smiles(chem.molecule(text))
+    butyls = "CC(C)(C)C1=CC(C(C)(C)C)=CC(C(C)(C)C)=C1"
+    assert chem.canonical_smiles(chem.molecule(butyls)) == chem.canonical_smiles(chem.molecule("c1(C(C)(C)C)cc(C(C)(C)C)cc(C(C)(C)C)c1"))

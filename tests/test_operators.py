@@ -56,7 +56,7 @@ def test_outliers_and_ranks(spark):
 
 def test_sequences(spark):
     assert one(spark, sequence.reverse_complement(F.lit("AACGTRYN"))) == "NRYACGTT"
-    assert one(spark, sequence.translate(F.lit("ATGGCNTAAG"))) == "MX*" and one(spark, sequence.gc_percent(F.lit("GCSATN"))) == 60 and one(spark, sequence.gc_percent(F.lit("NN"))) == 0
+    assert one(spark, sequence.translate(F.lit("ATGGCNTAAG"))) == "MA*" and one(spark, sequence.gc_percent(F.lit("GCSATN"))) == 60 and one(spark, sequence.gc_percent(F.lit("NN"))) == 0
     assert one(spark, sequence.find_pattern(F.lit("AAAA"), "AA")) == [0, 1, 2] and one(spark, sequence.find_pattern(F.lit("GGAC"), "GAN")) == [1]
     assert one(spark, sequence.find_pattern(F.lit("TCGA"), "GATC", circular=True)) == [2] and one(spark, sequence.find_pattern(F.lit("A"), "GATC")) == []
     assert one(spark, sequence.fragments(F.array(F.lit(2), F.lit(6)), 1, F.lit(10))) == [3, 4, 3] and one(spark, sequence.fragments(F.array(F.lit(2), F.lit(6)), 1, F.lit(10), circular=True)) == [4, 6]
@@ -164,3 +164,38 @@ def test_streams(spark, tmp_path):
     query.stop()
     last = {r.subject: (r.t, r.auc) for r in spark.sql("SELECT * FROM exposure ORDER BY t").collect()}
     assert last[1][0] in (2.0, 3.0) and last[2] == (0.0, 0.0)
+
+
+def test_superpose_far_from_the_origin(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = rng.normal(0, 20, (200, 3)) + [1000.0, -3000.0, 5000.0]
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    turn *= np.sign(np.linalg.det(turn))
+    q = p @ turn.T + [7.0, 8.0, 9.0]
+    rows = [("g", *map(float, a), *map(float, b)) for a, b in zip(p, q, strict=True)] + [("h", *map(float, a), *map(float, b * [1, 1, -1])) for a, b in zip(p, p, strict=True)]
+    got = {r.g: r.rmsd for r in structure.superpose(spark.createDataFrame(rows, "g string, x double, y double, z double, mx double, my double, mz double"), "g").collect()}
+    assert got["g"] < 1e-10
+    assert abs(got["h"] - structure.kabsch(p, p * [1, 1, -1])[2]) < 1e-9
+
+
+def test_banded_notes_keep_repeats(spark):
+    from labspark.operators import catalog_ops
+
+    subjects = spark.createDataFrame([(1, "a", 0.5), (1, "a", 0.5), (2, "a", 9.0), (3, None, 0.5), (4, "b", None)], "id int, gene string, activity double")
+    bands = spark.createDataFrame([("a", 0.0, 1.0, 2, "later"), ("a", 0.0, 0.6, 1, "first")], "gene string, low double, high double, seq int, note string")
+    got = catalog_ops.banded_notes(subjects, bands, "activity")
+    assert got.columns == ["id", "gene", "activity", "note"]
+    assert sorted((r.id, r.note) for r in got.collect()) == [(1, "first"), (1, "first"), (2, None), (3, None), (4, None)]
+
+
+def test_ambiguous_codons(spark):
+    from pyspark.sql import functions as F
+
+    from labspark.functions import sequence as seq
+
+    texts = {"GCN": "A", "GCU": "A", "TAR": "*", "TRA": "*", "ATH": "I", "ATN": "X", "YTR": "L", "MGR": "R", "AUG": "M", "NNN": "X", "A-G": "X", "RAY": "X", "GCNTG": "A"}
+    df = spark.createDataFrame(list(texts.items()), "s string, want string")
+    got = df.select("want", seq.translate(F.col("s")).alias("a"), seq.translated(F.col("s")).alias("b")).collect()
+    assert all(r.want == r.a == r.b for r in got), got
