@@ -59,6 +59,47 @@ def ligand_efficiency(kd: Column, heavy: Column) -> Column:
     return -delta_g(kd) / F.nullif(heavy, F.lit(0))
 
 
+def lipophilic_efficiency(p_activity: Column, log_p: Column) -> Column:
+    return p_activity - log_p
+
+
+def lipophilicity_price(le: Column, log_p: Column) -> Column:
+    return log_p / F.nullif(le, F.lit(0.0))
+
+
+def binding_efficiency(p_activity: Column, mw: Column) -> Column:
+    return p_activity / (F.nullif(mw, F.lit(0.0)) / 1000)
+
+
+def surface_efficiency(p_activity: Column, tpsa: Column) -> Column:
+    return p_activity / (F.nullif(tpsa, F.lit(0.0)) / 100)
+
+
+def average_at_steady_state(f: Column, dose: Column, clearance: Column, tau: Column) -> Column:
+    return f * dose / F.nullif(clearance * tau, F.lit(0.0))
+
+
+def basic_inhibition(i: Column, ki: Column) -> Column:
+    """R1 (also of the gut, with its own concentration): NULL without a positive Ki."""
+    return F.when(ki > 0, 1 + i / ki)
+
+
+def basic_inactivation(i: Column, ki: Column, kinact: Column, kdeg: Column) -> Column:
+    """R2: the enzyme's turnover with inactivation over that without."""
+    return 1 + kinact * i / (F.nullif(ki + i, F.lit(0.0)) * F.nullif(kdeg, F.lit(0.0)))
+
+
+def general_solubility(melting_c: Column, log_p: Column) -> Column:
+    """log10 of the aqueous solubility in mol/L by the general solubility equation; liquids have no crystal term."""
+    return 0.5 - 0.01 * F.greatest(F.lit(0.0), melting_c - 25) - log_p
+
+
+def double_reciprocal(s: Column, v: Column) -> tuple[Column, Column]:
+    """1/s and 1/v for a Lineweaver-Burk plot, NULL where either is not positive; not for estimating."""
+    good = (s > 0) & (v > 0)
+    return F.when(good, 1 / s), F.when(good, 1 / v)
+
+
 def solubility(s0: Column, ph: Column, pka: Column, acid: bool) -> Column:
     return s0 * (1 + F.pow(F.lit(10.0), ph - pka if acid else pka - ph))
 
@@ -69,6 +110,7 @@ def buffer_capacity(ph: Column, c: Column, pka: Column) -> Column:
     return LN10 * (KW / h + h + c * ka * h / F.pow(ka + h, F.lit(2.0)))
 
 
+# Fixed values in the next three rules: offsets, weights, free ranges and limits of the absorption, brain and Caco-2 estimates.
 def intestinal_absorption(tpsa: Column, hbd: Column, mw: Column, log_p: Column) -> Column:
     over = lambda x, limit: F.greatest(F.lit(0.0), x - limit)
     return _clamp(100 - 0.7 * over(tpsa, 60.0) - 4 * over(hbd, 3.0) - 0.05 * over(mw, 480.0) - 6 * F.greatest(F.lit(0.0), -1 - log_p), 5, 99)

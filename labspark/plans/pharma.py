@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labspark.operators import nca, pk
+from labspark.operators.biologics import docking_estimate
 from labspark.plans.views import CONC, concentrations, rounded
 from labspark.tables import table
 
@@ -63,6 +64,12 @@ QUERIES = {
     "absorption": _closed(lambda x: [pk.intestinal_absorption(x.s * 3, x.line, x.price / 150, x.tax * 50), pk.log_bb(x.tax * 50, x.s * 3), pk.caco2(x.tax * 50, x.s * 3)], "hia", "log_bb", "caco2"),
     "impairment": _closed(lambda x: [pk.impairment_ratio(x.fm, x.discount + 0.2, x.tax + 0.3)], "ratio"),
     "schild": _schild,
+    "efficiencies": _closed(lambda x: [pk.lipophilic_efficiency(x.km, x.ki * 30), pk.lipophilicity_price(x.line / 10, x.ki * 30), pk.binding_efficiency(x.km, x.price / 100), pk.surface_efficiency(x.km, x.s * 3)], "lle", "lelp", "bei", "sei"),
+    "steady_state": _closed(lambda x: [pk.average_at_steady_state(F.lit(0.8), F.lit(DOSE), x.ke, x.s)], "c_avg"),
+    "basic_ddi": _closed(lambda x: [pk.basic_inhibition(x.s / 10, x.ki), pk.basic_inactivation(x.s / 10, x.ki, x.tax, F.lit(0.02))], "r1", "r2"),
+    "general_solubility": _closed(lambda x: [pk.general_solubility(x.s * 5, x.tax * 50)], "log_s"),
+    "double_reciprocal": _closed(lambda x: pk.double_reciprocal(x.s, x.discount), "inverse_s", "inverse_v"),
+    "docking_estimate": _closed(lambda x: [docking_estimate(x.tax * 50, x.price / 100), docking_estimate(x.tax * 50, x.price / 100, 6)], "first_pose", "last_pose"),
 }
 
 _SEG = f"""WITH {CONC}, seg AS (SELECT *, lag(t) OVER w AS t0, lag(c) OVER w AS c0 FROM conc WINDOW w AS (PARTITION BY subject ORDER BY t)),
@@ -88,7 +95,14 @@ _C = f"(1 / (1 + {_I} / {_K}))"
 _A = f"(0.02::DOUBLE / (0.02::DOUBLE + l_tax * ({_I}) / ({_K} + {_I})))"
 _KE, _KA, _T = "(l_tax + 0.05::DOUBLE)", "(l_discount + 0.3::DOUBLE)", "(l_quantity / 2)"
 _PH = "(l_quantity / 5)"
+_P = "(l_quantity / 4 + 1)"
 ORACLES = {
+    "efficiencies": _closed_sql(lle=f"{_P} - {_K} * 30", lelp=f"{_K} * 30 / (l_linenumber / 10)", bei=f"{_P} / (l_extendedprice / 100 / 1000)", sei=f"{_P} / (l_quantity * 3 / 100)"),
+    "steady_state": _closed_sql(c_avg=f"0.8::DOUBLE * {DOSE}::DOUBLE / ({_KE} * l_quantity)"),
+    "basic_ddi": _closed_sql(r1=f"1 + {_I} / {_K}", r2=f"1 + l_tax * ({_I}) / (({_K} + {_I}) * 0.02::DOUBLE)"),
+    "general_solubility": _closed_sql(log_s="0.5::DOUBLE - 0.01::DOUBLE * greatest(0, l_quantity * 5 - 25) - l_tax * 50"),
+    "double_reciprocal": _closed_sql(inverse_s="CASE WHEN l_quantity > 0 AND l_discount > 0 THEN 1 / l_quantity END", inverse_v="CASE WHEN l_quantity > 0 AND l_discount > 0 THEN 1 / l_discount END"),
+    "docking_estimate": _closed_sql(first_pose="-(5 + 0.8::DOUBLE * (l_tax * 50) + 0.004::DOUBLE * (l_extendedprice / 100))", last_pose="-(5 + 0.8::DOUBLE * (l_tax * 50) + 0.004::DOUBLE * (l_extendedprice / 100)) + 1.75::DOUBLE"),
     "nca_auc": f"{_SEG} SELECT subject, n, round(auc_last, 4) AS auc_last, round(aumc_last, 4) AS aumc_last, round(t_last, 4) AS t_last, true AS increasing FROM ex",
     "nca_cmax": f"{_SEG} SELECT subject, cmax, round(tmax, 6) AS tmax FROM peak",
     "nca_lambda_z": f"{_SEG} SELECT subject, round(lambda_z, 6) AS lambda_z, n_points, round(adj_r2, 6) AS adj_r2 FROM lz",

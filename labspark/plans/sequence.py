@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labspark.functions import sequence as seq
 from labspark.operators.biologics import LIABILITIES, liabilities
 from labspark.operators import alignment_columns as cols
+from labspark.operators import nucleic
 from labspark.plans.views import SEQS, rounded, sequences
 
 BACKGROUND = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
@@ -41,6 +42,19 @@ def _motifs(s, d):
     return liabilities(rows, "doc_id", "protein").groupBy("doc_id", "liability").agg(F.count("*").alias("n"), F.min("position").cast("int").alias("first"), F.min("motif").alias("motif"))
 
 
+def _off_targets(s, d):
+    """The first guide of each language against the sites of all sequences."""
+    sites = nucleic.guide_sites(sequences(s, d).select("doc_id", "lang", "seq"), "doc_id", "seq")
+    named = sites.join(sequences(s, d).select("doc_id", "lang"), "doc_id")
+    guides = named.groupBy(F.col("lang").alias("guide_id")).agg(F.min("site").alias("guide"))
+    found = nucleic.off_targets(guides, sites)
+    return found.groupBy("guide_id", "guide", "mismatches").agg(F.count("*").alias("n"), F.sum("position").alias("positions"))
+
+
+def _forbidden(s, d):
+    return sequences(s, d).select("doc_id", F.array_join(nucleic.forbidden(F.col("seq"), ("GAATTC", "GGTCTC", "AATAAA"), 6), ",").alias("found"))
+
+
 def _protein(s, d):
     rows = sequences(s, d).select("doc_id", F.replace(seq.translated(F.col("seq")), F.lit("*"), F.lit("")).alias("p")).filter("length(p) > 0")
     got = rows.select(
@@ -67,6 +81,8 @@ QUERIES = {
     "restriction_sites": _restriction,
     "digest_fragments": _digest,
     "motif_scan": _motifs,
+    "guide_offtargets": _off_targets,
+    "forbidden_patterns": _forbidden,
     "protein_properties": _protein,
     "isoelectric_points": _points_of_charge,
     "homopolymer": lambda s, d: sequences(s, d).select("doc_id", seq.longest_run(F.col("seq")).alias("longest_run")),
@@ -115,6 +131,12 @@ SELECT doc_id, {', '.join(f"md5({_translate('seq' if s == 'f' else 'back', k)})
     "digest_fragments": f"""WITH {SEQS}, c AS (SELECT doc_id, length(seq) AS n, list_transform(string_split(seq, 'GGCC'), lambda x: length(x)) AS parts FROM seqs),
 f AS (SELECT doc_id, n, list_transform(parts, lambda x, i: x + CASE WHEN i > 1 THEN 2 ELSE 0 END + CASE WHEN i < len(parts) THEN 2 ELSE 0 END) AS f FROM c)
 SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(len(f) AS INTEGER) AS n_fragments, CAST(list_max(f) AS INTEGER) AS longest, CAST(list_min(f) AS INTEGER) AS shortest, CAST(list_sum(f) AS INTEGER) AS total FROM f""",
+    "guide_offtargets": f"""WITH {SEQS}, b AS (SELECT doc_id, lang, '+' AS strand, seq AS s FROM seqs UNION ALL SELECT doc_id, lang, '-', {_BACK} FROM seqs),
+p AS (SELECT *, unnest(range(1, greatest(length(s) - 21, 1))) AS i FROM b), h AS (SELECT *, s[i : i + 19] AS site, CASE strand WHEN '+' THEN i - 1 ELSE length(s) - i - 19 END AS position FROM p WHERE s[i + 21 : i + 22] = 'GG'),
+g AS (SELECT lang AS guide_id, min(site) AS guide FROM h GROUP BY lang), m AS (SELECT guide_id, guide, position, hamming(guide, site) AS mismatches FROM g, h)
+SELECT guide_id, guide, CAST(mismatches AS INTEGER) AS mismatches, count(*) AS n, CAST(sum(position) AS BIGINT) AS positions FROM m WHERE mismatches <= 2 GROUP BY ALL""",
+    "forbidden_patterns": f"""WITH {SEQS}, r AS (SELECT doc_id, seq, {_BACK} AS back, list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda x: length(x))) AS run FROM seqs)
+SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN contains(seq, '{p}') OR contains(back, '{p}') THEN '{p}' END" for p in ("GAATTC", "GGTCTC", "AATAAA"))}, CASE WHEN run > 6 THEN 'run:' || run END) AS found FROM r""",
     "motif_scan": f"""WITH {SEQS}, t AS (SELECT doc_id, {_translate('seq')} AS p FROM seqs), r(liability, pattern) AS (VALUES {', '.join(f"('{n}', '{p}')" for n, p in LIABILITIES.items())}),
 f AS (SELECT doc_id, liability, p, pattern, regexp_extract_all(p, pattern) AS m FROM t, r WHERE liability <> 'free C' OR len(regexp_extract_all(p, 'C')) % 2 = 1)
 SELECT doc_id, liability, len(m) AS n, CAST(length(regexp_extract(p, '^(.*?)(' || regexp_replace(pattern, '^\\^', '') || ')', 1)) * CAST(liability <> 'C-terminal K' AS INTEGER) + CASE WHEN liability = 'C-terminal K' THEN length(p) - 1 ELSE 0 END AS INTEGER) AS first, list_min(m) AS motif FROM f WHERE len(m) > 0""",
