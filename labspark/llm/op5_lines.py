@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.session import materialise
+from labspark.session import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -57,9 +57,10 @@ def _lines(docs: DataFrame, params: LineParams) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple[DataFrame, DataFrame]:
-    """(slim, dropped): every counted line as doc, pos and line; the line hashes whose template recurs."""
+    """Written tables: every line as doc, pos, masked, n, leaf and line; the line hashes whose template recurs."""
     # Written once, masked texts in a column that only crowded leaves read again.
-    lines = materialise(_lines(docs, params), "lines").filter(F.col("n") >= params.min_tokens)
+    written = materialise(_lines(docs, params), "lines")
+    lines = written.filter(F.col("n") >= params.min_tokens)
     slim = lines.drop("masked")
     once = materialise(slim.select("leaf", "line", "n", "doc").distinct().groupBy("leaf", "line", "n").agg(F.count("*").alias("docs")), "line-counts")
     crowded = materialise(once.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf"), "leaves")
@@ -70,16 +71,17 @@ def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple
     near_texts = lines.select("leaf", "line", "masked", bucket(F.col("leaf"))).join(near, "bucket", "left_semi")
     texts = near_texts.groupBy("leaf", "line").agg(F.min("masked").alias("masked")).join(crowded, "leaf", "left_semi")
     tokens = texts.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
-    tokens = materialise(tokens.select("leaf", "line", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("token") == "<*>").alias("variable")), "tokens")
+    tokens = materialise(tokens.select("line", F.xxhash64("leaf", "at", "token").alias("place"), (F.col("token") == "<*>").alias("variable")), "tokens")
     weighed = tokens.filter(~F.col("variable")).join(once.select("line", "docs"), "line")
     support = materialise(weighed.groupBy("place").agg(F.sum("docs").alias("support")).filter(f"support >= {params.min_docs}").select("place"), "support")
     marked = tokens.join(support.withColumn("known", F.lit(True)), "place", "left")
     constant = F.col("known").isNotNull() & ~F.col("variable")
-    shapes = marked.groupBy("leaf", "line").agg(
+    shapes = marked.groupBy("line").agg(
         F.bit_xor(F.when(constant, F.col("place")).otherwise(F.lit(0).cast("long"))).alias("shape"), F.sum(constant.cast("int")).alias("constants")
     )
     shapes = materialise(shapes, "shapes")
-    known = slim.select("leaf", "line", "n", "doc").distinct().join(shapes.drop("leaf"), "line", "left")
+    discard(tokens, support, once, crowded)
+    known = slim.select("leaf", "line", "n", "doc").distinct().join(shapes, "line", "left")
     template = F.xxhash64("leaf", F.coalesce("shape", "line"), F.col("shape").isNull())
     kept = F.col("constants").isNull() | (F.col("constants") >= params.constant * F.col("n"))
     by_template = known.filter(kept).select("line", "n", "doc", template.alias("template"))
@@ -88,7 +90,9 @@ def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> tuple
     recurs = F.when(F.col("n") >= params.long_tokens, F.col("docs") >= params.min_docs).otherwise(F.col("docs") >= params.short_docs)
     recurring = materialise(counts.filter(recurs).select("template"), "recurring")
     dropped = by_template.select("template", "line").distinct().join(recurring, "template", "left_semi").select("line").distinct()
-    return slim, materialise(dropped, "dropped")
+    dropped = materialise(dropped, "dropped")
+    discard(shapes, by_template, recurring)
+    return written, dropped
 
 
 def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -98,12 +102,13 @@ def dedup_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     stay. Repeated rows are one document and lose the same lines. White space within a line
     does not tell lines apart, nor do runs of characters with a digit. Texts are parsed
     whole, whatever their length; other columns of docs are not looked at, and an empty table
-    gives an empty one. Lines and tokens are known by 64-bit hashes within their leaf.
+    gives an empty one. Lines and tokens are known by 64-bit hashes.
     """
-    slim, dropped = recurring_lines(docs, params)
+    written, dropped = recurring_lines(docs, params)
     # A set, as repeated rows are one document.
-    lost = slim.join(dropped, "line", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("lost"))
+    lost = written.select("doc", "pos", "line").join(dropped, "line", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("lost"))
     lost = materialise(lost, "lost")
+    discard(written, dropped)
     doc = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("doc")
     both = docs.select(F.col("doc_id").cast("long"), F.split("text", "\n").alias("lines"), doc).join(lost, "doc", "left")
     size = F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0))
