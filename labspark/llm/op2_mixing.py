@@ -171,7 +171,8 @@ def pieces(rows: DataFrame, table: DataFrame, params: MixParams) -> DataFrame:
     laid = placed.select("row", "idx", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * b)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * b + F.col("words"))
-    return laid.join(slots(table, params), ["idx", "block"]).select("row", "shard", "epoch", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words")).filter("n_words > 0")
+    # Slots are made by a generator, whose size adaptive execution takes for that of its input: never broadcast them.
+    return laid.join(slots(table, params).hint("merge"), ["idx", "block"]).select("row", "shard", "epoch", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words")).filter("n_words > 0")
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
