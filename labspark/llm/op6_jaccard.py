@@ -437,11 +437,10 @@ def _by_hub(wanted: DataFrame, rows: DataFrame, params: JaccardParams) -> DataFr
 
 def _crowded_links(docs: DataFrame, rows: DataFrame, near: DataFrame, whole: DataFrame, params: JaccardParams) -> list[DataFrame]:
     """Links of the blocks of whole, and of large clusters: rows (node, component_of, check, rep, n) near the candidate edges."""
-    edges = near.join(rows.select(F.col("node").alias("a"), "component_of"), "a")
-    edges = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "component_of").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "component_of"))
-    edges = materialise(edges, "cluster-edges")
-    degree = materialise(edges.groupBy("component_of", F.col("node").alias("other")).agg(F.count("*").alias("degree")), "degree")
-    hubs = materialise(degree.groupBy("component_of").agg(F.max(F.struct("degree", "other"))["other"].alias("hub")), "hubs")
+    edges = near.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    degree = edges.groupBy("node").agg(F.count("*").alias("degree"))
+    rows = materialise(rows.join(degree, "node"), "degrees")
+    hubs = materialise(rows.groupBy("component_of").agg(F.max(F.struct("degree", "node"))["node"].alias("hub")), "hubs")
     first = materialise(rows.join(hubs, "component_of"), "first")
     links = _links(docs, whole.unionByName(_by_hub(first, rows, params)), params)
     # Parts by the hub: what the blocks found linked to it, and the hub.
@@ -451,8 +450,9 @@ def _crowded_links(docs: DataFrame, rows: DataFrame, near: DataFrame, whole: Dat
     found = [links]
     if apart.isEmpty():
         return found
-    ranked = edges.drop("component_of").join(apart.select("node"), "node", "left_semi").join(joined.withColumnRenamed("node", "other"), "other", "left_semi")
-    ranked = ranked.join(hubs.select(F.col("hub").alias("other")), "other", "left_anti").join(degree.select("other", "degree"), "other")
+    # Their best neighbour among the rest, but for the hub, which they have met.
+    others = first.filter(F.col("node") != F.col("hub")).join(joined, "node", "left_semi").select(F.col("node").alias("other"), "degree")
+    ranked = edges.join(apart.select("node"), "node", "left_semi").join(others, "other")
     second = materialise(ranked.groupBy("node").agg(F.max(F.struct("degree", "other"))["other"].alias("hub")).join(apart, "node"), "second")
     if not second.isEmpty():
         links = _links(docs, _by_hub(second, rows, params), params)
