@@ -1,9 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (with map-side partial minima) and a join back on the same
-key, which adaptive execution can split where one hub has many edges. Nothing is collected
-but two counts a round. Rounds grow with the logarithm of the longest path, and each round
-is cut by a table in the shared folder.
+key, which adaptive execution can split where one hub has many edges. Nothing is collected:
+the grouped minimum also counts each node's smaller and larger neighbours, which tell that
+only stars are left. Rounds grow with the logarithm of the longest path, and each round is
+cut by a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -26,20 +27,21 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         .distinct(),
         "edges",
     )
-    state = None
     for _ in range(max_rounds):
-        before = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "low")
+        smaller = F.col("v") < F.col("u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(smaller).alias("down"), F.count_if(~smaller).alias("up"))
+        low = materialise(low.select("u", F.least("m", "u").alias("m"), "down", "up"), "low")
+        # Done when all edges lead to the middle of a star, smaller than its leaves.
+        if low.filter("down > 1 OR (down = 1 AND up > 0)").isEmpty():
+            discard(now)
+            return low.select(F.col("u").alias("node"), F.col("m").alias("component"))
         # Larger neighbours move to the smallest of the neighbourhood.
-        large = materialise(both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large = materialise(both.filter(~smaller).join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(now, low)
         lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         # Smaller neighbours, and the node itself, move to the smallest of them.
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         now = materialise(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
-        discard(before, low, large, lowest)
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = tuple(found)
+        discard(large, lowest)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
