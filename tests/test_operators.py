@@ -89,6 +89,8 @@ def test_graphs(spark):
     assert {r.node: r.component for r in graph.components(kept, "source", "target").collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 7: 7, 8: 7}
     chain = spark.createDataFrame([((i * 37) % 200, ((i + 1) * 37) % 200) for i in range(199)], "a long, b long")
     assert {r.component for r in graph.components(chain).collect()} == {0} and graph.components(chain.limit(0)).collect() == []
+    middle = spark.createDataFrame([(5, i) for i in range(12) if i != 5] + [(20, 13), (20, 17), (13, 11)], "a long, b long")
+    assert sorted((r.node, r.component) for r in graph.components(middle).collect()) == [(i, 0) for i in [*range(12), 13, 17, 20]]
     labels = graph.louvain(kept)
     assert graph.modularity(kept, labels).first().q > 0.2
     with pytest.raises(ValueError):
