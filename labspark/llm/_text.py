@@ -150,13 +150,14 @@ def batches(rows: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa
             yield batch.slice(at, step)
 
 
-def _named(name: str) -> Column:
+def named(name: str) -> Column:
+    """The column of a name that may hold dots."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
 def packed(docs: DataFrame) -> DataFrame:
     """docs as text and row, a struct of all other columns, so that no name of theirs can clash."""
-    return docs.select("text", F.struct(*(_named(c) for c in docs.columns if c != "text")).alias("row"))
+    return docs.select("text", F.struct(*(named(c) for c in docs.columns if c != "text")).alias("row"))
 
 
 def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:

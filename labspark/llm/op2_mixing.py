@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labspark.llm._text import named
 from labspark.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -198,7 +199,7 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     text. Documents that no slot takes are absent, as are texts without words.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "source")]
-    packed = F.struct(*(F.col(c) for c in extra)).alias("kept")
+    packed = F.struct(*(named(c) for c in extra)).alias("kept")
     rows = with_rows(docs, "mix-docs", packed)
     table = targets(rows, params)
     slim = rows.drop("kept")

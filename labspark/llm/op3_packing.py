@@ -150,7 +150,10 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     n_tokens); position_ids restart at 0 with each piece; doc_ids and doc_starts name each
     piece's document and its first id's place in that document. With end_document each
     document ends in one pad id. Null and empty texts hold that id alone, or give nothing
-    without it. Repeated rows are packed each; a null doc_id stays null.
+    without it. Repeated rows are packed each; a null doc_id stays null; an empty table gives
+    an empty one; other columns are not read. Very long texts are split over rows and lose no
+    id. Of pieces of one length the earlier is placed first, of rows of one capacity the one
+    that last came to it takes the piece.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,17 +45,20 @@ class QualityModel:
         return _unit(_weighted(counts, self.idf) @ self.basis)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors.
+
+        All that are as near as the last of them vote, so ties don't depend on any order.
+        """
         if len(self.labels) == 0:
             return np.full(len(counts), self.prior)
         got = np.empty(len(counts))
         k = min(self.params.neighbours, len(self.labels))
         for at in range(0, len(counts), self.params.block):
             near = self.project(counts[at : at + self.params.block]) @ self.vectors.T
-            top = np.argpartition(near, len(self.labels) - k, axis=1)[:, len(self.labels) - k :]
-            weight = np.maximum(np.take_along_axis(near, top, axis=1), 0.0).astype(np.float64)
+            last = np.partition(near, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            weight = np.where(near >= last - _TIE, np.maximum(near, 0.0), 0.0).astype(np.float64)
             total = weight.sum(axis=1)
-            vote = (weight * self.labels[top]).sum(axis=1)
+            vote = weight @ self.labels
             got[at : at + len(near)] = np.where(total > 0, vote / np.where(total > 0, total, 1), self.prior)
         return np.clip(got, 0.0, 1.0)
 
@@ -70,6 +73,9 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([_unit(np.log1p(counts[:, :n]) * idf), counts[:, n:]])
 
 
+#: Cosines this close are equal: single-precision products differ by less with the cut into blocks.
+_TIE = 1e-6
+
 #: Features beside the hashed grams: shares of repeated neighbours and of repeated shingles.
 _SHARES = 2
 

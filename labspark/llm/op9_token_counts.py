@@ -249,7 +249,9 @@ class PrefixCounter:
         word = piece.rstrip(self.blank)
         counts = self._table(word) if word else []
         change = [b - a for a, b in zip([0, *counts], counts, strict=False)]
-        return np.array(change + [0] * (len(piece) - len(word)), dtype=np.int16).astype(np.int8, casting="unsafe").tobytes()
+        if change and not -128 <= min(change) <= max(change) <= 127:
+            raise OverflowError(f"a character changes the token count by {max(change, key=abs)}, which a signed byte can't hold")
+        return np.array(change + [0] * (len(piece) - len(word)), dtype=np.int8).tobytes()
 
     def _plain(self, text: str) -> bytes:
         tables = self.tables
