@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.plans import biology, catalogs, kernels, pharma, plate, proteins, sequence
+from labspark.plans import biology, catalogs, kernels, lookups, pharma, plate, proteins, sequence
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (plate, pharma, biology, sequence, catalogs, kernels, proteins)
+MODULES = (plate, pharma, biology, sequence, catalogs, kernels, proteins, lookups)
 
 
 def queries() -> dict[str, Query]:

@@ -45,3 +45,16 @@ def cai(sequences: DataFrame, usage: DataFrame, key: str) -> DataFrame:
     rows = sequences.select(key, F.explode(codons(F.col("seq"))).alias("codon")).groupBy(key, "codon").agg(F.count("*").alias("n"))
     found = rows.join(F.broadcast(weights), "codon")
     return found.groupBy(key).agg(F.sum("n").alias("n_codons"), F.exp(F.sum(F.col("log_weight") * F.col("n")) / F.sum("n")).alias("cai"))
+
+
+def identities(pairs: DataFrame, key: str) -> DataFrame:
+    """pairs (key, query and homolog as aligned rows) with identity: percent of equal residues among columns where both have one."""
+    columns = F.arrays_zip(F.split("query", "").alias("q"), F.split("homolog", "").alias("h"))
+    both = F.filter(columns, lambda c: c["q"].rlike("^[^-]$") & c["h"].rlike("^[^-]$"))
+    same = F.size(F.filter(both, lambda c: c["q"] == c["h"]))
+    return pairs.select(key, "query", "homolog", F.coalesce(100.0 * same / F.nullif(F.size(both), F.lit(0)), F.lit(0.0)).alias("identity"))
+
+
+def homolog_identity(pairs: DataFrame, key: str) -> DataFrame:
+    """n, median, least and greatest identity of the homologs of each query."""
+    return identities(pairs, key).groupBy(key).agg(F.count("*").alias("n"), F.percentile("identity", F.lit(0.5)).alias("median"), F.min("identity").alias("least"), F.max("identity").alias("greatest"))

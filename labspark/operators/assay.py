@@ -164,3 +164,9 @@ def kruskal_wallis(rows: DataFrame, group: str, level: str, value: str = "value"
     correction = 1 - F.col("tie_sum") / (n * n * n - n)
     h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / correction
     return s.select(group, "k", "n", F.when((F.col("k") >= 2) & (correction > 0), h).alias("h"))
+
+
+def replicate_sd(wells: DataFrame) -> DataFrame:
+    """n and sample sd of the wells of each plate and concentration; a single well has no sd, which is NULL and not 0."""
+    rows = included(wells)
+    return rows.groupBy("plate", "conc").agg(F.count("*").alias("n"), F.stddev_samp("value").alias("sd"))

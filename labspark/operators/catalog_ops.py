@@ -84,3 +84,41 @@ def verdict_max(rows: DataFrame, key: str, verdict: Column, order: tuple[str, ..
     """The gravest verdict of each key, by its place in order."""
     rank = F.array_position(F.array(*(F.lit(v) for v in order)), verdict)
     return rows.groupBy(key).agg(F.get(F.array(*(F.lit(v) for v in order)), (F.max(rank) - 1).cast("int")).alias("verdict"))
+
+
+def by_id(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id) with the name and seq of its first entry in catalog order; NULLs where there is none."""
+    first = entries.groupBy("id").agg(F.min(F.struct("seq", "name")).alias("first"))
+    return wanted.join(first, "id", "left").select("id", F.col("first.name").alias("name"), F.col("first.seq").alias("seq"))
+
+
+def resolve_compounds(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """text, kind, id and name of each wanted text.
+
+    A null or empty text is the active compound (kind 'active'); else the first entry in
+    catalog order whose id or name equals it, letter case aside ('library'); any other text
+    is taken as a structure to be read ('structure') and has no id.
+    """
+    keys = catalog.select("id", "name", "seq", F.explode(F.array_distinct(F.array(F.lower(F.col("id").cast("string")), F.lower("name")))).alias("key"))
+    asked = wanted.select("text", F.lower("text").alias("key"))
+    hits = asked.filter("key <> ''").distinct().join(keys, "key").groupBy("key").agg(F.min(F.struct("seq", "id", "name")).alias("best"))
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    kind = F.when(empty, "active").when(F.col("best").isNotNull(), "library").otherwise("structure")
+    return asked.join(hits, "key", "left").select("text", kind.alias("kind"), F.col("best.id").alias("id"), F.col("best.name").alias("name"))
+
+
+def dockable(targets: DataFrame, headline: bool = False) -> DataFrame:
+    """Targets that have a box, in any order; with headline those alone that a pack marks so."""
+    boxed = targets.filter(F.col("box").isNotNull())
+    return boxed.filter(F.coalesce("headline", F.lit(False))) if headline else boxed
+
+
+def concatenate(builtin: DataFrame, user: DataFrame) -> DataFrame:
+    """Built-in packs, then the user's, by column name with origin (0 and 1); a column that one lacks is NULL there."""
+    return builtin.withColumn("origin", F.lit(0)).unionByName(user.withColumn("origin", F.lit(1)), allowMissingColumns=True)
+
+
+def position_label(position: Column, insertion: Column) -> Column:
+    """A numbered position as text, with its insertion code after a point where it has one."""
+    code = F.coalesce(insertion, F.lit(""))
+    return F.concat(position.cast("string"), F.when(code != "", F.concat(F.lit("."), code)).otherwise(""))

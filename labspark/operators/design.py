@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pandas as pd
@@ -112,3 +114,46 @@ def shelf_life(k: Column, start: Column, limit: Column, order: int = 1) -> Colum
     """Time until start has fallen to limit by zero- or first-order loss; NULL where it never does."""
     life = (start - limit) / F.nullif(k, F.lit(0.0)) if order == 0 else F.ln(start / F.nullif(limit, F.lit(0.0))) / F.nullif(k, F.lit(0.0))
     return F.when((k > 0) & (limit > 0) & (start >= limit), life)
+
+
+# Resistance scores by the first group that a compound has, the last for compounds without any.
+STABILITY = {
+    "hydrolysis": ((("ester",), 34.0), (("amide",), 70.0), ((), 92.0)),
+    "oxidation": ((("catechol",), 22.0), (("phenol",), 58.0), (("lipophilic",), 76.0), ((), 85.0)),
+    "photolysis": ((("catechol", "aryl_ketone"), 54.0), ((), 82.0)),
+    "thermal": ((("aryl_ketone",), 66.0), (("ester",), 72.0), ((), 88.0)),
+    "ph": ((("ester", "aryl_ketone", "catechol"), 58.0), ((), 80.0)),
+}
+
+
+def stability(groups: dict[str, Column], log_p: Column) -> dict[str, Column]:
+    """Five resistance scores and their mean (overall): a rank order without a unit, no stability study.
+
+    groups has a boolean column for ester, amide, catechol, phenol and aryl_ketone; a null
+    counts as absent. A compound is lipophilic from a log P over 2.
+    """
+    has = {name: F.coalesce(c, F.lit(False)) for name, c in (groups | {"lipophilic": log_p > 2}).items()}
+    scores = {}
+    for factor, rules in STABILITY.items():
+        score = F.lit(rules[-1][1])
+        for names, value in reversed(rules[:-1]):
+            score = F.when(reduce(or_, (has[n] for n in names)), value).otherwise(score)
+        scores[factor] = score
+    return scores | {"overall": reduce(add, scores.values()) / len(scores)}
+
+
+def precipitation_rate(series: DataFrame, key: str, solubility: float) -> DataFrame:
+    """n, rate (1/time), its standard error and what is missing, from the decay of concentrations c over t to solubility.
+
+    The logarithm of the excess is linear in time; points at or below solubility tell nothing
+    and are left out. Two points fit exactly, with an error of 0.
+    """
+    y, t = F.ln(F.col("c") - solubility), F.col("t")
+    rows = series.withColumn("y", F.when(F.col("c") > solubility, y)).withColumn("x", F.when(F.col("y").isNotNull(), t))
+    fit = rows.groupBy(key).agg(F.regr_count("y", "x").alias("n"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"))
+    n, sxx, sxy = F.col("n"), F.col("sxx"), F.col("sxy")
+    slope = F.when((n >= 2) & (sxx > 0), sxy / sxx)
+    reason = F.when(n < 2, "two supersaturated observations").when(~(sxx > 0), "two distinct times").when(slope >= 0, "a decay")
+    rest = F.greatest(F.col("syy") - sxy * sxy / sxx, F.lit(0.0))
+    error = F.when(n > 2, F.sqrt(rest / (n - 2) / sxx)).otherwise(0.0)
+    return fit.select(key, "n", F.when(reason.isNull(), -slope).alias("rate"), F.when(reason.isNull(), error).alias("error"), reason.alias("missing"))

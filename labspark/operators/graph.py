@@ -118,3 +118,20 @@ def louvain(edges: DataFrame, max_passes: int = 100, max_edges: int = 1_000_000)
             break
     kind = edges.schema["source"].dataType.simpleString()
     return spark.createDataFrame(sorted(label.items()), f"node {kind}, label {kind}")
+
+
+def cycle_rank(atoms: DataFrame, bonds: DataFrame, key: str) -> DataFrame:
+    """atoms, bonds, parts and rings (independent cycles: bonds - atoms + parts) of each molecule.
+
+    atoms has key and atom, bonds key, a and b; atoms are known by key and atom together. A
+    bond counts once, whichever way round and however often it is given.
+    """
+    node = lambda c: F.struct(F.col(key), F.col(c).alias("atom"))
+    once = bonds.select(key, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    joined = components(once.select(node("a").alias("a"), node("b").alias("b")))
+    # A component has one more atom than bonds of a spanning tree, so the joined atoms less the components are saved.
+    tied = joined.groupBy(F.col(f"node.{key}").alias(key)).agg((F.count("*") - F.countDistinct("component")).alias("tied"))
+    sizes = atoms.select(key, "atom").distinct().groupBy(key).agg(F.count("*").alias("atoms"))
+    counts = sizes.join(once.groupBy(key).agg(F.count("*").alias("bonds")), key, "left").join(tied, key, "left")
+    n, m, t = F.col("atoms"), F.coalesce("bonds", F.lit(0)), F.coalesce("tied", F.lit(0))
+    return counts.select(key, "atoms", m.alias("bonds"), (n - t).alias("parts"), (m - t).alias("rings"))

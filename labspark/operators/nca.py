@@ -91,3 +91,26 @@ def bands(series: DataFrame, at: Column) -> DataFrame:
     """5th, 50th and 95th percentiles of c (type 7) by time bin."""
     p = F.percentile("c", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return series.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), p.alias("p")).select("bin", "n", F.col("p")[0].alias("p5"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p95"))
+
+
+def exposure_summary(series: DataFrame) -> DataFrame:
+    """n, median AUC and Cmax over all subjects, and the AUC's coefficient of variation in percent.
+
+    The variation needs more than one subject and a positive mean; else it is NULL.
+    """
+    both = exposure(series).join(peaks(series), "subject")
+    mean = F.avg("auc_last")
+    cv = F.when((F.count("*") > 1) & (mean > 0), 100 * F.stddev_samp("auc_last") / mean)
+    return both.agg(F.count("*").alias("n"), F.percentile("auc_last", F.lit(0.5)).alias("median_auc"), F.percentile("cmax", F.lit(0.5)).alias("median_cmax"), cv.alias("auc_cv"))
+
+
+def dosing_interval(series: DataFrame, tau: float) -> DataFrame:
+    """auc_tau, c_average and swing by subject at steady state, from the samples up to tau.
+
+    Without an area over the interval all three are NULL; without a positive trough swing is.
+    """
+    inside = F.col("t") <= tau
+    found = auc_segments(series).groupBy("subject").agg(F.sum(F.when(inside, F.col("auc"))).alias("area"), F.min(F.when(inside, F.col("c"))).alias("trough"), F.max("c").alias("cmax"))
+    area = F.when(F.col("area") > 0, F.col("area"))
+    swing = F.when(area.isNotNull() & (F.col("trough") > 0), (F.col("cmax") - F.col("trough")) / F.col("trough"))
+    return found.select("subject", area.alias("auc_tau"), (area / tau).alias("c_average"), swing.alias("swing"))

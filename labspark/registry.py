@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from labspark.functions import html, sequence, stats
 from labspark.kernels import align, chem, fit, formula, network
-from labspark.operators import alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, pk, protein, similarity, structure
+from labspark.operators import alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, nucleic, pk, protein, similarity, structure
 from labspark.sources import sbml, sinks, text_formats
 
-_MODULES = (alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, pk, protein, similarity, structure, html, sequence, stats, align, chem, fit, formula, network, sbml, sinks, text_formats)
+_MODULES = (alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, nucleic, pk, protein, similarity, structure, html, sequence, stats, align, chem, fit, formula, network, sbml, sinks, text_formats)
 
 #: Names under which users know operators of other names here.
 ALIASES = {

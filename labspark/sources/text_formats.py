@@ -7,6 +7,7 @@ document, whole.
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window
 
 def read_fasta(spark: SparkSession, path: str, nucleic: bool = False) -> DataFrame:
     """id, description, seq, dropped (characters outside the alphabet) of each record; large files split at '>'."""
-    record = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    record = spark.read.option("lineSep", ">").text(path).filter(F.col("value").rlike(r"\S"))
     header, body = F.substring_index("value", "\n", 1), F.expr("substring(value, instr(value, '\n') + 1)")
     raw = F.regexp_replace(F.upper(body), r"\s", "")
     keep = "ACGTURYSWKMBDHVN" if nucleic else "ACDEFGHIKLMNPQRSTVWYBXZUO*-"
@@ -294,3 +295,23 @@ def read_packs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
     marked = raw.withColumn("error", error)
     return marked.filter("error IS NULL").select("file", "p.*"), marked.filter("error IS NOT NULL").select("file", "error")
+
+
+def read_nucleic(spark: SparkSession, path: str) -> DataFrame:
+    """Nucleic records of one format, told by the first line that is not blank: '>' is FASTA, 'LOCUS' GenBank; else ValueError."""
+    first = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''").first()
+    if first is not None and first["line"].startswith(">"):
+        return read_fasta(spark, path, nucleic=True)
+    if first is not None and first["line"].startswith("LOCUS"):
+        return read_genbank(spark, path)
+    raise ValueError(f"{path} is neither FASTA (a leading '>') nor GenBank (a leading 'LOCUS')")
+
+
+#: Readers of structure files by extension, letter case aside.
+STRUCTURES = {".pdb": read_pdb, ".ent": read_pdb, ".cif": read_cif, ".mmcif": read_cif}
+
+
+def read_structure(spark: SparkSession, path: str) -> DataFrame | None:
+    """The atoms of a structure file by the reader of its extension; None for any other extension."""
+    read = STRUCTURES.get(posixpath.splitext(path)[1].lower())
+    return read and read(spark, path)

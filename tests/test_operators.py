@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labspark import quantity as qty
 from labspark.flow import Dag, Node
 from labspark.functions import html, sequence
-from labspark.operators import assay, batch, enrichment, graph, nca, pk, similarity, structure
+from labspark.operators import assay, batch, design, enrichment, graph, nca, pk, similarity, structure
 from labspark.streaming import plates
 
 
@@ -201,3 +201,20 @@ def test_ambiguous_codons(spark):
     df = spark.createDataFrame(list(texts.items()), "s string, want string")
     got = df.select("want", seq.translate(F.col("s")).alias("a"), seq.translated(F.col("s")).alias("b")).collect()
     assert all(r.want == r.a == r.b for r in got), got
+
+
+def test_precipitation_rate(spark):
+    decay = [("a", float(t), 5 + 40 * math.exp(-0.3 * t)) for t in range(8)]
+    rows = [*decay, ("b", 0.0, 9.0), ("b", 1.0, 2.0), ("c", 0.0, 9.0), ("c", 1.0, 12.0), ("d", 1.0, 9.0), ("d", 1.0, 8.0), ("e", 0.0, 9.0), ("e", 2.0, 7.0), ("e", 3.0, None)]
+    got = {r.k: r for r in design.precipitation_rate(spark.createDataFrame(rows, "k string, t double, c double"), "k", 5.0).collect()}
+    assert got["a"].rate == pytest.approx(0.3, rel=1e-12) and got["a"].error < 1e-9
+    assert [got[k].missing for k in "abcde"] == [None, "two supersaturated observations", "a decay", "two distinct times", None]
+    assert got["e"].rate == pytest.approx(math.log(2) / 2) and got["e"].error == 0
+
+
+def test_cycle_rank_of_molecules(spark):
+    rings = [("naphthalene", a, b) for a, b in [*((i, i + 1) for i in range(9)), (9, 0), (0, 5)]]
+    bonds = spark.createDataFrame([*rings, ("naphthalene", 1, 0), ("salt", 0, 1), ("salt", 2, 2), ("salt", None, 1)], "m string, a int, b int")
+    atoms = spark.createDataFrame([("naphthalene", i) for i in range(10)] + [("salt", i) for i in range(4)] + [("ion", 0)], "m string, atom int")
+    got = {r.m: (r.atoms, r.bonds, r.parts, r.rings) for r in graph.cycle_rank(atoms, bonds, "m").collect()}
+    assert got == {"naphthalene": (10, 11, 1, 2), "salt": (4, 1, 3, 0), "ion": (1, 0, 1, 0)}

@@ -135,3 +135,19 @@ def test_sbml_round_trip_and_refusal():
         read_sbml(text.replace("<listOfReactions>", "<listOfEvents><event/></listOfEvents><listOfReactions>"))
     with pytest.raises(ValueError, match="r1"):
         read_sbml(text.replace("<times/><ci>r1_k</ci>", "<times/><ci>r1_k</ci><ci>B</ci>"))
+
+
+def test_formats_told_by_first_line_and_extension(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n  \n>x some\nACGTN\n")
+    (tmp_path / "b.txt").write_text("\n" + GB)
+    (tmp_path / "c.txt").write_text("neither\n")
+    (tmp_path / "d.txt").write_text("")
+    assert [(r.id, r.seq) for r in tf.read_nucleic(spark, str(tmp_path / "a.txt")).collect()] == [("x", "ACGTN")]
+    assert {r.locus for r in tf.read_nucleic(spark, str(tmp_path / "b.txt")).collect()} == {"TEST1", "TEST2"}
+    for name in ("c.txt", "d.txt"):
+        with pytest.raises(ValueError, match="neither FASTA"):
+            tf.read_nucleic(spark, str(tmp_path / name))
+    for name, text in (("a.PDB", PDB), ("a.ent", PDB), ("a.cif", CIF), ("a.mmCIF", CIF)):
+        (tmp_path / name).write_text(text)
+        assert tf.read_structure(spark, str(tmp_path / name)).count() == 3
+    assert tf.read_structure(spark, str(tmp_path / "a.txt")) is None
