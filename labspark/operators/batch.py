@@ -222,3 +222,46 @@ def orfs(df: DataFrame, key: str, seq: str, min_aa: int = 30, circular: bool = F
             yield pd.DataFrame(rows, columns=[key, "strand", "start", "stop", "aa", "has_stop"])
 
     return df.select(key, seq).mapInPandas(run, f"{key} {kind}, strand string, start int, stop int, aa int, has_stop boolean")
+
+
+def atom_contributions(df: DataFrame, classes: list[dict], column: str = "smiles") -> DataFrame:
+    """df with the struct contributions: log_p, refractivity, types by heavy atom, and an error.
+
+    classes is a rule pack's, in order of precedence. The sums are NULL where an atom has no
+    class (a NULL among types), as a partial sum is no answer, and for a bad SMILES.
+    """
+    table = [(c["type"], c["smarts"], c["logP"], c["mr"]) for c in classes]
+
+    @F.pandas_udf("log_p double, refractivity double, types array<string>, error string")
+    def sums(texts: pd.Series) -> pd.DataFrame:
+        rules, rows = chem.Contributions(table), []
+        for text in texts:
+            try:
+                log_p, mr, types = rules.of(chem.molecule(text or ""))
+                rows.append((log_p, mr, types, None if log_p is not None else "an atom has no class"))
+            except chem.ChemError as e:
+                rows.append((None, None, None, str(e)))
+        return pd.DataFrame(rows, columns=["log_p", "refractivity", "types", "error"])
+
+    return spread(df).withColumn("contributions", sums(F.col(column)))
+
+
+def screen_alerts(df: DataFrame, alerts: list[dict], column: str = "smiles") -> DataFrame:
+    """df with alerts: every match of each rule of a pack, by rule, with its meaning, source, severity and atoms.
+
+    A match is a flag of a liability, no verdict. NULL for a bad SMILES, empty without a match.
+    """
+    fields = ("key", "label", "mechanism", "citation", "severity")
+
+    @F.pandas_udf("array<struct<key: string, label: string, mechanism: string, citation: string, severity: string, atoms: array<int>>>")
+    def screen(texts: pd.Series) -> pd.Series:
+        rules, out = [({f: a[f] for f in fields}, chem.Pattern(a["smarts"])) for a in alerts], []
+        for text in texts:
+            try:
+                mol = chem.molecule(text or "")
+                out.append([told | {"atoms": list(m)} for told, pattern in rules for m in pattern.matches(mol, len(mol.atoms) ** 2 + 1000)])
+            except chem.ChemError:
+                out.append(None)
+        return pd.Series(out)
+
+    return spread(df).withColumn("alerts", screen(F.col(column)))

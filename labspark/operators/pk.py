@@ -141,3 +141,44 @@ def schild(points: DataFrame, key: str) -> DataFrame:
     """n, slope, intercept and pA2 of log(DR - 1) against log[B] by key; three points at least."""
     fit = points.groupBy(key).agg(F.count("*").alias("n"), F.regr_slope("log_dr1", "log_b").alias("slope"), F.regr_intercept("log_dr1", "log_b").alias("intercept"))
     return fit.filter("n >= 3").withColumn("pa2", F.col("intercept") / F.nullif(F.col("slope"), F.lit(0.0)))
+
+
+# Intrinsic clearance that a group is assumed to add, in multiples of hepatic flow, with the route it
+# stands for; the first group that a compound has names the limiting route. A phenol counts without a catechol alone.
+FIRST_PASS = (
+    ("catechol", 15.0, "catechol conjugation and deamination"), ("ester", 2.2, "ester hydrolysis"), ("mao_amine", 2.5, "amine deamination"),
+    ("aryl_ketone", 0.9, "carbonyl reduction"), ("phenol", 0.3, "phenol conjugation"),
+)
+FIRST_PASS_BASE, FIRST_PASS_PER_LOG_P = 0.05, 0.08
+
+
+def hepatic_availability(hia: Column, log_p: Column, groups: dict[str, Column], flow: float, measured: Column | None = None) -> dict[str, Column]:
+    """clint (unbound, L/h), first_pass (share surviving), clearance (L/h), oral (percent) and route, by the well-stirred liver.
+
+    Without a measured intrinsic clearance one is assumed from groups (booleans by the names
+    in FIRST_PASS; a null counts as absent) and log P, which ranks compounds and measures
+    nothing. hia is the absorbed percent. A flow of 0 or less gives NULLs.
+    """
+    has = {name: F.coalesce(groups[name], F.lit(False)) for name, _, _ in FIRST_PASS}
+    has["phenol"] = has["phenol"] & ~has["catechol"]
+    relative = F.lit(FIRST_PASS_BASE) + FIRST_PASS_PER_LOG_P * F.greatest(F.lit(0.0), log_p - 2)
+    route = F.lit("little first-pass metabolism")
+    for name, weight, told in reversed(FIRST_PASS):
+        relative = relative + F.when(has[name], weight).otherwise(0.0)
+        route = F.when(has[name], told).otherwise(route)
+    given = F.lit(None).cast("double") if measured is None else F.when(measured >= 0, measured)
+    q = F.lit(float(flow) if flow > 0 else None).cast("double")
+    clint = F.coalesce(given, relative * q) + 0 * q
+    first = q / (q + clint)
+    oral = F.when(q.isNotNull(), _clamp(hia * first, 1, 99))
+    route = F.when(q.isNull(), "no hepatic flow").when(given.isNotNull(), "measured intrinsic clearance").otherwise(route)
+    return {"clint": clint, "first_pass": first, "clearance": clint * first, "oral": oral, "route": route}
+
+
+# Fixed values in the next two rules: limits of efflux substrates and of compounds that reach the brain.
+def efflux_substrate(mw: Column, hba: Column, tpsa: Column) -> Column:
+    return ((mw > 400) & (hba >= 6)) | (tpsa > 120)
+
+
+def reaches_brain(log_p: Column, tpsa: Column, mw: Column) -> Column:
+    return (log_bb(log_p, tpsa) > -0.3) & (tpsa < 90) & (mw < 450)

@@ -48,7 +48,26 @@ def _schild(s, d):
     return rounded(pk.schild(items, "agonist"), "slope", "intercept", "pa2")
 
 
+def _availability(measured):
+    """Oral availability of line items as compounds; FLOW is a hepatic flow in L/h."""
+
+    def query(s, d):
+        line, log_p, tpsa = F.col("l_linenumber"), F.col("l_tax") * 50, F.col("l_quantity") * 3
+        groups = {"catechol": line == 5, "ester": line % 2 == 0, "mao_amine": line % 3 == 0, "aryl_ketone": F.col("l_returnflag") == "R", "phenol": line > 3}
+        hia = pk.intestinal_absorption(tpsa, line, F.col("l_extendedprice") / 150, log_p)
+        found = pk.hepatic_availability(hia, log_p, groups, FLOW, F.when(line != 1, F.col("l_quantity") / 7) if measured else None)
+        return rounded(table(s, d, "lineitem").select(*KEY, *(c.alias(n) for n, c in found.items())), "clint", "first_pass", "clearance", "oral")
+
+    return query
+
+
+FLOW = 90.0
+
+
 QUERIES = {
+    "hepatic_availability": _availability(False),
+    "measured_availability": _availability(True),
+    "efflux_and_brain": lambda s, d: _items(s, d).select(*KEY, pk.efflux_substrate(F.col("l_extendedprice") / 100, F.col("l_linenumber"), F.col("l_quantity") * 3).alias("efflux"), pk.reaches_brain(F.col("l_tax") * 50, F.col("l_quantity") * 3, F.col("l_extendedprice") / 150).alias("brain")),
     "nca_auc": lambda s, d: rounded(nca.exposure(concentrations(s, d)), "auc_last", "aumc_last", "t_last", places=4),
     "nca_cmax": lambda s, d: rounded(nca.peaks(concentrations(s, d)), "tmax"),
     "nca_lambda_z": lambda s, d: rounded(nca.lambda_z(concentrations(s, d)).select("subject", "lambda_z", "n_points", "adj_r2"), "lambda_z", "adj_r2"),
@@ -96,7 +115,23 @@ _A = f"(0.02::DOUBLE / (0.02::DOUBLE + l_tax * ({_I}) / ({_K} + {_I})))"
 _KE, _KA, _T = "(l_tax + 0.05::DOUBLE)", "(l_discount + 0.3::DOUBLE)", "(l_quantity / 2)"
 _PH = "(l_quantity / 5)"
 _P = "(l_quantity / 4 + 1)"
+_FIRST_PASS = f"""WITH r AS (SELECT *, l_linenumber = 5 AS catechol, l_linenumber % 2 = 0 AS ester, l_linenumber % 3 = 0 AS amine, l_returnflag = 'R' AS ketone, l_linenumber IN (4, 6, 7) AS phenol,
+  least(99, greatest(5, 100 - 0.7::DOUBLE * greatest(0, l_quantity * 3 - 60) - 4 * greatest(0, l_linenumber - 3) - 0.05::DOUBLE * greatest(0, l_extendedprice / 150 - 480) - 6 * greatest(0, -1 - l_tax * 50))) AS hia FROM lineitem),
+a AS (SELECT *, {FLOW}::DOUBLE * (0.05::DOUBLE + 0.08::DOUBLE * greatest(0, l_tax * 50 - 2) + CASE WHEN catechol THEN 15 ELSE 0 END + CASE WHEN ester THEN 2.2::DOUBLE ELSE 0 END + CASE WHEN amine THEN 2.5::DOUBLE ELSE 0 END
+  + CASE WHEN ketone THEN 0.9::DOUBLE ELSE 0 END + CASE WHEN phenol THEN 0.3::DOUBLE ELSE 0 END) AS assumed,
+  CASE WHEN catechol THEN 'catechol conjugation and deamination' WHEN ester THEN 'ester hydrolysis' WHEN amine THEN 'amine deamination' WHEN ketone THEN 'carbonyl reduction' WHEN phenol THEN 'phenol conjugation' ELSE 'little first-pass metabolism' END AS told FROM r)"""
+
+
+def _availability_sql(clint, route):
+    q = f"{FLOW}::DOUBLE"
+    return f"""{_FIRST_PASS}, c AS (SELECT *, {clint} AS cl, {route} AS way FROM a)
+SELECT {_KEY}, round(cl, 6) AS clint, round({q} / ({q} + cl), 6) AS first_pass, round(cl * ({q} / ({q} + cl)), 6) AS clearance, round(least(99, greatest(1, hia * ({q} / ({q} + cl)))), 6) AS oral, way AS route FROM c"""
+
+
 ORACLES = {
+    "hepatic_availability": _availability_sql("assumed", "told"),
+    "measured_availability": _availability_sql("CASE WHEN l_linenumber <> 1 THEN l_quantity / 7 ELSE assumed END", "CASE WHEN l_linenumber <> 1 THEN 'measured intrinsic clearance' ELSE told END"),
+    "efflux_and_brain": f"SELECT {_KEY}, (l_extendedprice / 100 > 400 AND l_linenumber >= 6) OR l_quantity * 3 > 120 AS efflux, least(1.2::DOUBLE, greatest(-2, 0.15::DOUBLE + 0.17::DOUBLE * (l_tax * 50) - 0.011::DOUBLE * (l_quantity * 3))) > -0.3::DOUBLE AND l_quantity * 3 < 90 AND l_extendedprice / 150 < 450 AS brain FROM lineitem",
     "efficiencies": _closed_sql(lle=f"{_P} - {_K} * 30", lelp=f"{_K} * 30 / (l_linenumber / 10)", bei=f"{_P} / (l_extendedprice / 100 / 1000)", sei=f"{_P} / (l_quantity * 3 / 100)"),
     "steady_state": _closed_sql(c_avg=f"0.8::DOUBLE * {DOSE}::DOUBLE / ({_KE} * l_quantity)"),
     "basic_ddi": _closed_sql(r1=f"1 + {_I} / {_K}", r2=f"1 + l_tax * ({_I}) / (({_K} + {_I}) * 0.02::DOUBLE)"),

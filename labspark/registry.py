@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from labspark.functions import html, sequence, stats
 from labspark.kernels import align, chem, fit, formula, network
 from labspark.operators import alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, nucleic, pk, protein, similarity, structure
-from labspark.sources import sbml, sinks, text_formats
+from labspark.sources import rules, sbml, sinks, text_formats
 
-_MODULES = (alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, nucleic, pk, protein, similarity, structure, html, sequence, stats, align, chem, fit, formula, network, sbml, sinks, text_formats)
+_MODULES = (alignment_columns, assay, batch, biologics, catalog_ops, components, design, enrichment, graph, nca, nucleic, pk, protein, similarity, structure, html, sequence, stats, align, chem, fit, formula, network, rules, sbml, sinks, text_formats)
 
 #: Names under which users know operators of other names here.
 ALIASES = {
-    "analyze_compound": "smiles_props", "screen_structural_alerts": "smarts_hits", "search_library": "search", "compare_compounds": "tanimoto_top_k", "align_sequences": "align_pairs", "compare_structures": "superpose",
+    "analyze_compound": "smiles_props", "screen_structural_alerts": "screen_alerts", "search_library": "search", "compare_compounds": "tanimoto_top_k", "align_sequences": "align_pairs", "compare_structures": "superpose",
     "fit_dose_response": "fit_curves", "convert_ic50_to_ki": "cheng_prusoff", "simulate_exposure": "pk_profiles", "simulate_population": "population", "noncompartmental_analysis": "nca", "predict_interaction": "auc_ratio",
     "compute_exact_mass": "masses", "balance_equation": "balance", "speciation_at_ph": "species_shares", "solubility_profile": "solubility", "parse_sequence": "sanitize", "translate_sequence": "translate",
     "restriction_map": "find_pattern", "oligo_thermodynamics": "oligo_thermo", "import_assay": "read_plates", "assay_qc": "plate_qc", "fit_binding_kinetics": "langmuir", "fit_enzyme_inhibition": "fit_modality",
     "design_assay": "d_optimal", "biologics_mass": "peptide_mass", "protein_interface": "contacts", "conservation_profile": "conservation", "score_variant": "sift_score", "simulate_reaction_network": "parameter_sweep",
     "fit_stability_kinetics": "arrhenius", "pathway_enrichment": "enrich", "screen_offtarget_panel": "panel_coverage", "check_stack": "interactions", "pharmacogenomic_notes": "banded_notes", "metabolic_flux": "flux_variability",
-    "list_runs": "recent_runs", "fetch_structure": "read_pdb", "screen_admet": "intestinal_absorption", "run_workflow": "Dag", "antibody_liabilities": "liabilities", "known_metabolites": "metabolites", "dock_compound": "docking_estimate", "web_search": "search_results", "web_fetch": "html_to_text",
+    "list_runs": "recent_runs", "fetch_structure": "read_pdb", "screen_admet": "hepatic_availability", "run_workflow": "Dag", "antibody_liabilities": "liabilities", "known_metabolites": "metabolites", "dock_compound": "docking_estimate", "web_search": "search_results", "web_fetch": "html_to_text",
 }
 
 
