@@ -55,7 +55,7 @@ def _availability(measured):
         line, log_p, tpsa = F.col("l_linenumber"), F.col("l_tax") * 50, F.col("l_quantity") * 3
         groups = {"catechol": line == 5, "ester": line % 2 == 0, "mao_amine": line % 3 == 0, "aryl_ketone": F.col("l_returnflag") == "R", "phenol": line > 3}
         hia = pk.intestinal_absorption(tpsa, line, F.col("l_extendedprice") / 150, log_p)
-        found = pk.hepatic_availability(hia, log_p, groups, FLOW, F.when(line != 1, F.col("l_quantity") / 7.3) if measured else None)
+        found = pk.hepatic_availability(hia, log_p, groups, FLOW, F.when(line != 1, F.log1p("l_quantity")) if measured else None)
         return rounded(table(s, d, "lineitem").select(*KEY, *(c.alias(n) for n, c in found.items())), "clint", "first_pass", "clearance", "oral")
 
     return query
@@ -130,7 +130,7 @@ SELECT {_KEY}, round(cl, 6) AS clint, round({q} / ({q} + cl), 6) AS first_pass,
 
 ORACLES = {
     "hepatic_availability": _availability_sql("assumed", "told"),
-    "measured_availability": _availability_sql("CASE WHEN l_linenumber <> 1 THEN l_quantity / 7.3::DOUBLE ELSE assumed END", "CASE WHEN l_linenumber <> 1 THEN 'measured intrinsic clearance' ELSE told END"),
+    "measured_availability": _availability_sql("CASE WHEN l_linenumber <> 1 THEN ln(1 + l_quantity) ELSE assumed END", "CASE WHEN l_linenumber <> 1 THEN 'measured intrinsic clearance' ELSE told END"),
     "efflux_and_brain": f"SELECT {_KEY}, (l_extendedprice / 100 > 400 AND l_linenumber >= 6) OR l_quantity * 3 > 120 AS efflux, least(1.2::DOUBLE, greatest(-2, 0.15::DOUBLE + 0.17::DOUBLE * (l_tax * 50) - 0.011::DOUBLE * (l_quantity * 3))) > -0.3::DOUBLE AND l_quantity * 3 < 90 AND l_extendedprice / 150 < 450 AS brain FROM lineitem",
     "efficiencies": _closed_sql(lle=f"{_P} - {_K} * 30", lelp=f"{_K} * 30 / (l_linenumber / 10)", bei=f"{_P} / (l_extendedprice / 100 / 1000)", sei=f"{_P} / (l_quantity * 3 / 100)"),
     "steady_state": _closed_sql(c_avg=f"0.8::DOUBLE * {DOSE}::DOUBLE / ({_KE} * l_quantity)"),
