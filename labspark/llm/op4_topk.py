@@ -10,7 +10,9 @@ A query starts with a threshold, the k-th best of a bounded sample of real rows,
 the annuli in the order of their bounds until the next bound is below the threshold. Queries
 travel in blocks to the annuli that they need; an annulus comes in blocks of bounded size,
 and a large one is dealt to several keys, each of which gets the queries, so no task holds
-all of it. Pivots grow with the rows. All rows are indexed; the sample chooses pivots and
+all of it. Blocks hold the narrowest integers that fit, messages are of bounded size, and a
+task passes on only what can still be among a query's best of those it has seen. Pivots grow
+with the rows. All rows are indexed; the sample chooses pivots and
 starting thresholds alone and bears on the speed, not the result.
 
 Distances and bounds are taken on vectors divided by the largest component, so that none
@@ -20,8 +22,9 @@ float64 can't hold them, components are cut into limbs whose products it holds.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,6 +173,15 @@ def _far_points(x: np.ndarray, n: int) -> np.ndarray:
 #: Keys of one annulus at most, far beyond what any table fills.
 KEYS = 1 << 40
 PAYLOAD = "cell long, ids binary, vectors binary"
+#: Bytes of one message to Spark: beyond 2 GB Arrow has no such column, and a worker holds several.
+MESSAGE = 8 << 20
+#: Queries whose best scores a task keeps in mind at most.
+KEPT_QUERIES = 1 << 17
+
+
+def packed_type(largest: float) -> np.dtype:
+    """The narrowest type that holds the integers from -largest to largest exactly."""
+    return np.dtype(next((t for t, most in (("<i1", 127), ("<i2", (1 << 15) - 1), ("<i4", (1 << 31) - 1)) if largest <= most), "<f8"))
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopKParams = TopKParams(), vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -214,31 +226,30 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
         keys[r["cell"]] = -(-r["n"] // (params.data_block * params.key_blocks))
     index = Index(dim, unit, norm2, draft.pivots, draft.width, low, high)
     shared = spark.sparkContext.broadcast((index, sample_ids, sample, keys))
+    packed = packed_type(largest)
 
-    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Sorted rows of annuli to blocks of bounded size."""
         held_cell, ids, vs = None, [], []
         keys = shared.value[3]
 
         def out() -> list[tuple]:
             # A large annulus has several keys; a block's first row picks one.
-            return [(held_cell * KEYS + ids[0] % int(keys[held_cell]), np.array(ids, "<i8").tobytes(), np.concatenate(vs).astype("<f8").tobytes())] if ids else []
+            return [(held_cell * KEYS + ids[0] % int(keys[held_cell]), np.array(ids, "<i8").tobytes(), np.concatenate(vs).astype(packed).tobytes())] if ids else []
 
         for batch in rows:
-            done: list[tuple] = []
             x = _matrix(batch.column("v"), dim)
             for i, (cell, own) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("id").to_pylist(), strict=True)):
                 if cell != held_cell or len(ids) >= params.data_block:
-                    done += out()
+                    yield from out()
                     held_cell, ids, vs = cell, [], []
                 ids.append(own)
                 vs.append(x[i])
-            yield _rows(done)
-        yield _rows(out())
+        yield from out()
 
-    blocks = keyed.repartitionByRange("cell", "near", "id").sortWithinPartitions("cell", "near", "id").mapInArrow(pack, PAYLOAD)
+    blocks = keyed.repartitionByRange("cell", "near", "id").sortWithinPartitions("cell", "near", "id").mapInArrow(lambda rows: messages(pack(rows)), PAYLOAD)
 
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Query rows to blocks for each annulus that can still hold one of a query's best."""
         index, known_ids, known, keys = shared.value
         for batch in rows:
@@ -254,33 +265,44 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
                     if len(others) >= params.k and others[-params.k] > LOWEST:
                         threshold[i] = float(others[-params.k])
                 bound = index.bounds(q, annuli)
-                done = []
                 for cell in np.flatnonzero(np.isfinite(index.low)):
                     takes = bound[:, cell] >= threshold / unit / unit
                     if takes.any():
                         # Less what the threshold was rounded by.
-                        body = np.column_stack([q[takes], threshold[takes] - 1e-9 * np.where(np.isfinite(threshold[takes]), np.abs(threshold[takes]), 0)])
-                        load = ids[takes].astype("<i8").tobytes(), body.astype("<f8").tobytes()
-                        done += [(int(cell) * KEYS + k, *load) for k in range(int(keys[cell]))]
-                yield _rows(done)
+                        least = threshold[takes] - 1e-9 * np.where(np.isfinite(threshold[takes]), np.abs(threshold[takes]), 0)
+                        load = ids[takes].astype("<i8").tobytes(), least.astype("<f8").tobytes() + q[takes].astype(packed).tobytes()
+                        yield from ((int(cell) * KEYS + k, *load) for k in range(int(keys[cell])))
 
-    asked = ints.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(ask, PAYLOAD)
+    asked = ints.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(lambda rows: messages(ask(rows)), PAYLOAD)
 
     def match(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[int]] = {}  # of a query the k highest scores so far, a heap
         for batch in rows:
-            for q_ids, q_body, x_ids, x_body in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vectors", "ids", "vectors")), strict=True):
+            columns = [batch.column(c) for c in ("q_ids", "q_vectors", "ids", "vectors")]
+            for row in range(batch.num_rows):
+                q_ids, q_body, x_ids, x_body = (c[row].as_buffer() for c in columns)
                 qi, xi = np.frombuffer(q_ids, "<i8"), np.frombuffer(x_ids, "<i8")
-                body = np.frombuffer(q_body, "<f8").reshape(len(qi), dim + 1)
-                s = scores(body[:, :dim], np.frombuffer(x_body, "<f8").reshape(len(xi), dim), largest)
+                least = np.frombuffer(q_body, "<f8", len(qi))
+                q = np.frombuffer(q_body, packed, len(qi) * dim, 8 * len(qi)).reshape(len(qi), dim).astype(np.float64)
+                s = scores(q, np.frombuffer(x_body, packed).reshape(len(xi), dim).astype(np.float64), largest)
                 out_q, out_x, out_s = [], [], []
-                for i in range(len(qi)):
-                    good = np.flatnonzero((s[i] >= body[i, dim]) & (xi != qi[i]))
+                for i in np.flatnonzero(s.max(axis=1) >= least).tolist():
+                    own, kept = int(qi[i]), best.get(int(qi[i]), [])
+                    good = np.flatnonzero((s[i] >= least[i]) & (xi != own))
+                    if len(kept) == params.k:
+                        good = good[s[i, good] >= kept[0]]
                     if len(good) > params.k:
-                        good = np.array(sorted(good.tolist(), key=lambda j: (-int(s[i, j]), xi[j]))[: params.k])
-                    out_q.append(np.full(len(good), qi[i]))
+                        good = good[np.lexsort((xi[good], ~s[i, good]))[: params.k]]
+                    if not len(good):
+                        continue
+                    if own not in best and len(best) >= KEPT_QUERIES:
+                        best.clear()
+                    best[own] = heapq.nlargest(params.k, kept + s[i, good].tolist())[::-1]
+                    out_q.append(np.full(len(good), own))
                     out_x.append(xi[good])
                     out_s.append(s[i][good])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_q, out_x, out_s)], names=["query_id", "vec_id", "score"])
+                if out_q:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_q, out_x, out_s)], names=["query_id", "vec_id", "score"])
 
     pairs = asked.select("cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(blocks.select("cell", "ids", "vectors"), "cell")
     found = pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(match, "query_id long, vec_id long, score long")
@@ -288,6 +310,20 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
     return found.withColumn("rank", rank).filter(F.col("rank") <= params.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def messages(rows: Iterable[tuple], most: int = MESSAGE) -> Iterator[pa.RecordBatch]:
+    """Rows of PAYLOAD as batches that end once they hold most bytes."""
     kinds = [pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["cell", "ids", "vectors"])
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], k) for i, k in enumerate(kinds)], names=["cell", "ids", "vectors"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[1]) + len(row[2])
+        if size >= most:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()

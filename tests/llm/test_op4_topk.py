@@ -4,7 +4,7 @@ import warnings
 
 import numpy as np
 
-from labspark.llm.op4_topk import HIGHEST, LOWEST, TopKParams, scores, top_k
+from labspark.llm.op4_topk import HIGHEST, LOWEST, TopKParams, messages, packed_type, scores, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -59,3 +59,21 @@ def test_no_warnings_and_columns_of_any_name(spark):
     with warnings.catch_warnings():
         warnings.simplefilter("error", RuntimeWarning)
         assert top_k(table, lambda v: v % 5 == 0).count() == 20
+
+
+def test_messages_are_bounded_and_packed_exactly(spark):
+    rows = [(i, bytes(8), bytes(1000)) for i in range(100)]
+    got = list(messages(iter(rows), most=10_000))
+    assert len(got) == 10 and max(b.nbytes for b in got) < 13_000
+    assert [r for b in got for r in b.column("cell").to_pylist()] == list(range(100))
+    for largest, kind in ((127, "i1"), (128, "i2"), (32768, "i4"), (1 << 31, "f8")):
+        assert packed_type(float(largest)) == np.dtype(kind)
+        x = [largest / 256, -largest / 256]
+        check(spark, [(i, [x[i % 2], x[i // 2 % 2]], 0) for i in range(20)], sample=4, pivots=2, data_block=3)
+
+
+def test_a_query_meets_many_keys(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)], 0) for i in range(300)]
+    check(spark, rows, sample=20, pivots=16, annuli=16, data_block=2, query_block=4, key_blocks=1)
+    check(spark, rows + [(300 + i, [], 0) for i in range(5)], sample=20, pivots=4, annuli=4, data_block=2, query_block=4, key_blocks=1)
