@@ -121,15 +121,35 @@ def dixon(rows: DataFrame, group: str, value: str = "value") -> DataFrame:
     )
 
 
+def _quartile(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share, the first product not rounded (fused), as DuckDB's quantile_cont has it.
+
+    Readouts are often multiples of a step and lie on the fences themselves, where the last digit decides.
+    """
+    fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share).cast("double")
+    return F.when(share > 0, fused).otherwise(low)
+
+
 def tukey_fences(rows: DataFrame, group: str, value: str = "value") -> DataFrame:
-    """Quartiles (type 7), fences and the number of values outside them; needs n >= 4 and a positive IQR."""
-    own = rows.filter(F.col(value).isNotNull())
-    q = own.groupBy(group).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"))
+    """Quartiles (type 7), fences and the number of values outside them; needs n >= 4 and a positive IQR.
+
+    Equal values of a group are counted before they are ranked, and the counts serve both steps.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("times"))
+    by = Window.partitionBy(group)
+    ranked = counts.withColumn("n", F.sum("times").over(by)).withColumn("upto", F.sum("times").over(by.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("times")), F.col("x")))
+
+    place = {k: (F.col("n") - 1) * p for k, p in (("q1", 0.25), ("q3", 0.75))}
+    ends = ranked.groupBy(group, "n").agg(*(at(f(place[k])).alias(f"{k}_{side}") for k in place for side, f in (("low", F.floor), ("high", F.ceil))))
+    q = ends.select(group, "n", *(_quartile(F.col(f"{k}_low"), F.col(f"{k}_high"), place[k] - F.floor(place[k])).alias(k) for k in place))
     iqr = F.col("q3") - F.col("q1")
     ok = (F.col("n") >= 4) & (iqr > 0)
     q = q.withColumn("low_fence", F.when(ok, F.col("q1") - 1.5 * iqr)).withColumn("high_fence", F.when(ok, F.col("q3") + 1.5 * iqr))
-    outside = F.coalesce((F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence")), F.lit(False))
-    return own.join(q, group).groupBy(group, "n", "q1", "q3", "low_fence", "high_fence").agg(F.sum(outside.cast("long")).alias("n_outside"))
+    outside = F.coalesce((F.col("x") < F.col("low_fence")) | (F.col("x") > F.col("high_fence")), F.lit(False))
+    return counts.join(q, group).groupBy(group, "n", "q1", "q3", "low_fence", "high_fence").agg(F.sum(F.when(outside, F.col("times")).otherwise(0)).alias("n_outside"))
 
 
 def mid_ranks(rows: DataFrame, group: str, value: str = "value") -> DataFrame:

@@ -20,6 +20,12 @@ def _edge(spark, sf_dir):
     return rounded(assay.mann_whitney(assay.included(wells(spark, sf_dir)), "plate", ring), "u", "z")
 
 
+def _fences(spark, sf_dir):
+    """Rounded as the SQL rounds: a fence that rounds to zero from below is a negative zero."""
+    signed = lambda c: F.when((F.round(c, 6) == 0) & (F.col(c) < 0), F.lit(-0.0)).otherwise(F.round(c, 6))
+    return assay.tukey_fences(assay.included(wells(spark, sf_dir)), "plate").withColumns({c: signed(c) for c in ("q1", "q3", "low_fence", "high_fence")})
+
+
 def _norm(column):
     def query(spark, sf_dir):
         got = assay.normalise(wells(spark, sf_dir)).select("plate", "well_order", "well_line", "role", "excluded", F.col(column).alias("normalised"))
@@ -37,7 +43,7 @@ QUERIES = {
     "norm_robust_z": _norm("robust_z"),
     "grubbs": lambda s, d: rounded(assay.grubbs(_orders(s, d), "l_orderkey"), "statistic"),
     "dixon": lambda s, d: rounded(assay.dixon(_orders(s, d), "l_orderkey"), "q_low", "q_high"),
-    "tukey_fences": lambda s, d: rounded(assay.tukey_fences(assay.included(wells(s, d)), "plate"), "q1", "q3", "low_fence", "high_fence"),
+    "tukey_fences": _fences,
     "mann_whitney_z": _edge,
     "kruskal_h": lambda s, d: rounded(assay.kruskal_wallis(assay.included(wells(s, d)), "plate", "col"), "h"),
 }
