@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,16 +58,79 @@ def coverage_summary(covered: DataFrame, declared: int) -> DataFrame:
     return covered.agg(F.sum((F.col("presets") > 0).cast("long")).alias("screened")).select("screened", (F.lit(declared) - F.col("screened")).alias("unscreened"), F.lit(declared).cast("long").alias("panel_size"))
 
 
+#: Members of a block: a pair of blocks makes at most its square of rows, in parts of PART.
+BLOCK, PART = 2048, 1 << 18
+
+
 def interactions(inhibitors: DataFrame, substrates: DataFrame) -> DataFrame:
     """perpetrator, victim and the number of enzymes that the one inhibits and the other needs; never itself.
 
-    An equal join on the enzyme, with partial counts before the shuffle on the pair. Both sides
-    are dealt by enzyme to all cores, as few input rows make many pairs.
+    Members that share all their enzymes, or a few, are alike in cost: members meet in blocks,
+    whose pairs are counted by products of incidence matrices, so a pair is a row once, when it
+    is whole, and only the blocks are shuffled. Blocks without a common enzyme don't meet.
     """
-    n = 2 * inhibitors.sparkSession.sparkContext.defaultParallelism
-    a = inhibitors.select(F.col("member").alias("perpetrator"), "enzyme").distinct().repartition(n, "enzyme")
-    b = substrates.select(F.col("member").alias("victim"), "enzyme").distinct().repartition(n, "enzyme")
-    return a.join(b, "enzyme").filter("perpetrator <> victim").groupBy("perpetrator", "victim").agg(F.count("*").alias("enzymes"))
+    spark = inhibitors.sparkSession
+    n = 2 * spark.sparkContext.defaultParallelism
+    a, b = (d.select("member", "enzyme").dropna().distinct() for d in (inhibitors, substrates))
+    kinds = {c: a.schema[c].dataType for c in ("member", "enzyme")}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                got = pa.RecordBatch.from_struct_array(batch.column("rows")[row].values).sort_by([("enzyme", "ascending"), ("member", "ascending")])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, got.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(got)
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), pa.array([sink.getvalue().to_pybytes()])], names=["block", "rows"])
+
+    members = max(a.select("member").distinct().count(), b.select("member").distinct().count())
+    # Small tables have blocks enough to keep all cores busy.
+    blocks = max(-(-members // BLOCK), min(math.isqrt(n) + 1, members), 1)
+    block = F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int")
+    own = [d.groupBy(block.alias("block")).agg(F.collect_list(F.struct("enzyme", "member")).alias("rows")).mapInArrow(pack, "block int, rows binary") for d in (a, b)]
+    known = [d.select(block.alias("block"), "enzyme").distinct() for d in (a, b)]
+    meet = known[0].withColumnRenamed("block", "p").join(known[1].withColumnRenamed("block", "v"), "enzyme").select("p", "v").distinct()
+    pairs = meet.join(own[0].select(F.col("block").alias("p"), F.col("rows").alias("ps")), "p").join(own[1].select(F.col("block").alias("v"), F.col("rows").alias("vs")), "v")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                p, v = (pa.ipc.open_stream(batch.column(c)[row].as_buffer()).read_all() for c in ("ps", "vs"))
+                enzymes = pa.chunked_array([*p["enzyme"].chunks, *v["enzyme"].chunks]).combine_chunks().dictionary_encode()
+                codes = enzymes.indices.to_numpy()
+                (p_members, pi), (v_members, vi) = ((m.dictionary, m.indices.to_numpy()) for m in (t["member"].combine_chunks().dictionary_encode() for t in (p, v)))
+                yield from _shared(p_members, pi, codes[: len(pi)], v_members, vi, codes[len(pi) :], len(enzymes.dictionary))
+
+    kind = kinds["member"].simpleString()
+    return pairs.select("ps", "vs").repartition(max(n, min(blocks * blocks, 64 * n))).mapInArrow(count, f"perpetrator {kind}, victim {kind}, enzymes long")
+
+
+def _shared(p_members: pa.Array, pi: np.ndarray, pe: np.ndarray, v_members: pa.Array, vi: np.ndarray, ve: np.ndarray, n_enzymes: int) -> Iterator[pa.RecordBatch]:
+    """Pairs with common enzymes, from incidence lists (member and enzyme numbers): products of a slice of enzymes at a time."""
+    order = np.argsort(pi, kind="stable")
+    pi, pe = pi[order], pe[order]
+    rows = max(1, PART // max(1, len(v_members)))
+    same = pa.compute.index_in(p_members, value_set=v_members).fill_null(-1).to_numpy(zero_copy_only=False)
+    for at in range(0, len(p_members), rows):
+        till = min(at + rows, len(p_members))
+        i, j = np.searchsorted(pi, [at, till])
+        used = np.unique(pe[i:j])
+        total = np.zeros((till - at, len(v_members)), np.float32)
+        place = np.full(n_enzymes, -1)
+        for lo in range(0, len(used), 512):
+            part = used[lo : lo + 512]
+            place[:] = -1
+            place[part] = np.arange(len(part))
+            x, y = np.zeros((till - at, len(part)), np.float32), np.zeros((len(part), len(v_members)), np.float32)
+            mine, theirs = place[pe[i:j]] >= 0, place[ve] >= 0
+            x[pi[i:j][mine] - at, place[pe[i:j][mine]]] = 1
+            y[place[ve[theirs]], vi[theirs]] = 1
+            total += x @ y
+        k = np.flatnonzero(same[at:till] >= 0)
+        total[k, same[at:till][k]] = 0
+        left, right = np.nonzero(total)
+        if len(left):
+            yield pa.RecordBatch.from_arrays([p_members.take(pa.array(left + at)), v_members.take(pa.array(right)), pa.array(total[left, right].astype(np.int64))], names=["perpetrator", "victim", "enzymes"])
 
 
 def banded_notes(subjects: DataFrame, bands: DataFrame, value: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """What showed only on large tables, on small ones that have the same cases."""
 
+import random
+from collections import Counter
+
 import duckdb
 
 from labspark import catalog
-from labspark.operators import assay
+from labspark.operators import assay, catalog_ops
 
 
 def test_tukey_fences_at_zero_and_to_the_last_digit(spark, tmp_path):
@@ -28,3 +31,18 @@ def test_quartiles_are_those_of_sql_to_the_last_digit(spark):
     con = duckdb.connect()
     values = ", ".join(f"({g}, {v!r}::DOUBLE)" for g, v in rows)
     assert got == sorted(con.sql(f"SELECT g, count(*), quantile_cont(v, 0.25), quantile_cont(v, 0.75) FROM (VALUES {values}) t(g, v) GROUP BY g").fetchall())
+
+
+def test_interactions_count_pairs_in_one_place(spark):
+    rng = random.Random(4)
+    # Blocks of several members, more enzymes than a slice, members that are on one side alone, repeats, nulls, names as keys.
+    a = [(f"m{rng.randrange(60)}", rng.randrange(700)) for _ in range(4000)] + [("only", 1), ("only", None), (None, 1), ("lone", 9999)]
+    b = [(f"m{rng.randrange(90)}", rng.randrange(700)) for _ in range(4000)]
+    df = catalog_ops.interactions(*(spark.createDataFrame(rows, "member string, enzyme long") for rows in (a, b)))
+    want = Counter((p, v) for p, e in set(a) for v, f in set(b) if e == f and None not in (p, e) and p != v)
+    got = df.collect()
+    assert len(got) == len(want) and {(r.perpetrator, r.victim): r.enzymes for r in got} == want
+    # Pairs were exploded by enzyme and shuffled before.
+    assert "hashpartitioning(perpetrator" not in df._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([], "member string, enzyme long")
+    assert catalog_ops.interactions(empty, empty).collect() == []
