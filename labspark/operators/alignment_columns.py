@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,9 +38,39 @@ def pssm(aligned: DataFrame, group: str, background: dict[str, float], pseudocou
     return full.select(group, "column", "residue", F.log2(p / F.col("expected")).alias("score"))
 
 
+#: The letters of codons that may have an amino acid, by their numbers; any other is OTHER.
+_LETTERS = "ACGTURYSWKMBDHVN"
+OTHER = len(_LETTERS)
+_NUMBER = np.full(256, OTHER, np.int64)
+_NUMBER[[ord(c) for c in _LETTERS]] = range(OTHER)
+#: What a codon doesn't run across, as a point of a regular expression doesn't.
+_LINE_END = re.compile("[\n\r\x85\u2028\u2029]")
+
+
+def codon_counts(sequences: DataFrame) -> DataFrame:
+    """codon and n, partial sums by task, of the codons of letters for sets of bases: counted in Arrow batches, never rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((OTHER + 1) ** 3, np.int64)
+        for batch in batches:
+            for seq in batch.column("seq"):
+                for line in _LINE_END.split(seq.as_py() or ""):
+                    if whole := len(line) // 3 * 3:
+                        own = _NUMBER[np.frombuffer(line[:whole].encode("ascii", "replace"), np.uint8)]
+                        total += np.bincount((own[::3] * (OTHER + 1) + own[1::3]) * (OTHER + 1) + own[2::3], minlength=len(total))
+        found = [i for i in np.flatnonzero(total).tolist() if OTHER not in _digits(i)]
+        yield pa.RecordBatch.from_arrays([pa.array(["".join(_LETTERS[k] for k in _digits(i)) for i in found], pa.string()), pa.array(total[found], pa.int64())], names=["codon", "n"])
+
+    return sequences.select("seq").mapInArrow(count, "codon string, n long")
+
+
+def _digits(i: int) -> tuple[int, int, int]:
+    return i // (OTHER + 1) ** 2, i // (OTHER + 1) % (OTHER + 1), i % (OTHER + 1)
+
+
 def codon_usage(sequences: DataFrame) -> DataFrame:
     """n and weight (share of the commonest codon of its amino acid) of each codon over all sequences."""
-    counts = sequences.select(F.explode(codons(F.col("seq"))).alias("codon")).groupBy("codon").agg(F.count("*").alias("n")).withColumn("aa", amino_acid(F.col("codon"))).filter("aa IS NOT NULL")
+    counts = codon_counts(sequences).groupBy("codon").agg(F.sum("n").alias("n")).withColumn("aa", amino_acid(F.col("codon"))).filter("aa IS NOT NULL")
     return counts.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy("aa")))
 
 

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from labspark import catalog
-from labspark.operators import assay, catalog_ops
+from labspark.functions.sequence import amino_acid, codons
+from labspark.operators import alignment_columns, assay, catalog_ops
 
 
 def test_tukey_fences_at_zero_and_to_the_last_digit(spark, tmp_path):
@@ -46,3 +48,12 @@ def test_interactions_count_pairs_in_one_place(spark):
     assert "hashpartitioning(perpetrator" not in df._jdf.queryExecution().executedPlan().toString()
     empty = spark.createDataFrame([], "member string, enzyme long")
     assert catalog_ops.interactions(empty, empty).collect() == []
+
+
+def test_codons_are_counted_without_a_row_each(spark):
+    texts = ["ACGTACGTAAGN", "AC\nGGGTT\r\nACG", "ACé😀TTTGG", "UUUACRXXXACG", "acgACG", "AC", "", None, "GGN CCC"]
+    seqs = spark.createDataFrame([(t,) for t in texts], "seq string")
+    df = alignment_columns.codon_usage(seqs)
+    want = seqs.select(F.explode(codons(F.col("seq"))).alias("codon")).withColumn("aa", amino_acid(F.col("codon"))).filter("aa IS NOT NULL").groupBy("codon", "aa").count()
+    assert sorted((r.codon, r.aa, r.n) for r in df.collect()) == sorted((r.codon, r.aa, r["count"]) for r in want.collect())
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
