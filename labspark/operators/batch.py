@@ -158,11 +158,8 @@ def pk_profiles(df: DataFrame, times: list[float]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for r in batch.itertuples(index=False):
-                c = network.simulate_pk(np.array(times), [network.Dose(0.0, r.dose)], r.v, r.cl, None if r.ka is None or math.isnan(r.ka) else r.ka, step=0.05)
-                parts.append(pd.DataFrame({"subject": r.subject, "t": times, "c": c}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"subject": [], "t": [], "c": []})
+            c = network.simulate_pk_rows(np.array(times), *(batch[k].to_numpy(float, na_value=np.nan) for k in ("dose", "v", "cl", "ka")), step=0.05)
+            yield pd.DataFrame({"subject": np.repeat(batch["subject"].to_numpy(), len(times)), "t": np.tile(np.array(times, float), len(batch)), "c": c.ravel()})
 
     return spread(df.select("subject", "dose", "v", "cl", "ka")).mapInPandas(run, "subject long, t double, c double")
 

@@ -1,13 +1,16 @@
 """What showed only on large tables, on small ones that have the same cases."""
 
+import math
 import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from labspark import catalog
 from labspark.functions.sequence import amino_acid, codons
+from labspark.kernels import network
 from labspark.operators import alignment_columns, assay, catalog_ops
 
 
@@ -57,3 +60,13 @@ def test_codons_are_counted_without_a_row_each(spark):
     want = seqs.select(F.explode(codons(F.col("seq"))).alias("codon")).withColumn("aa", amino_acid(F.col("codon"))).filter("aa IS NOT NULL").groupBy("codon", "aa").count()
     assert sorted((r.codon, r.aa, r.n) for r in df.collect()) == sorted((r.codon, r.aa, r["count"]) for r in want.collect())
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_of_many_subjects_at_once():
+    rng = random.Random(8)
+    rows = [(rng.uniform(1, 200), rng.uniform(5, 60), rng.uniform(0.5, 9), rng.choice([math.nan, 0.0, 0.3, 1.1, 4.0])) for _ in range(200)] + [(math.nan, 20.0, 1.0, 1.0), (100.0, math.nan, 1.0, math.nan)]
+    times = np.array([4.0, 0.0, 1.03, 12.0])
+    got = network.simulate_pk_rows(times, *np.array(rows).T, step=0.05)
+    want = [network.simulate_pk(times, [network.Dose(0.0, d)], v, cl, None if math.isnan(ka) else ka, step=0.05) for d, v, cl, ka in rows]
+    assert np.array_equal(got, np.array(want), equal_nan=True)
+    assert network.simulate_pk_rows(times, *np.zeros((4, 0)), step=0.05).shape == (0, 4)
