@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labspark import catalog
 from labspark.functions.sequence import amino_acid, codons
 from labspark.kernels import network
-from labspark.operators import alignment_columns, assay, catalog_ops
+from labspark.operators import alignment_columns, assay, biologics, catalog_ops
 
 
 def test_tukey_fences_at_zero_and_to_the_last_digit(spark, tmp_path):
@@ -70,3 +70,15 @@ def test_profiles_of_many_subjects_at_once():
     want = [network.simulate_pk(times, [network.Dose(0.0, d)], v, cl, None if math.isnan(ka) else ka, step=0.05) for d, v, cl, ka in rows]
     assert np.array_equal(got, np.array(want), equal_nan=True)
     assert network.simulate_pk_rows(times, *np.zeros((4, 0)), step=0.05).shape == (0, 4)
+
+
+def test_bonds_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(biologics, "BLOCK", 16)
+    rng = random.Random(12)
+    rows = [(i, *(rng.uniform(-3, 3) for _ in range(3)), rng.choice([0.3, 0.5, 0.7])) for i in range(300)] + [(5, 0.0, 0.0, 0.0, 0.5), (900, None, 0.0, 0.0, 0.5), (901, math.nan, 0.0, 0.0, 0.5), (None, 0.0, 0.0, 0.0, 0.5)]
+    df = biologics.inferred_bonds(spark.createDataFrame(rows, "atom long, x double, y double, z double, covalent double"))
+    good = [r for r in rows if None not in r]
+    pairs = [(a[0], b[0], math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2), a[4] + b[4] + 0.45) for a in good for b in good if a[0] < b[0]]
+    assert sorted((r.atom_1, r.atom_2, round(r.distance, 9)) for r in df.collect()) == sorted((a, b, round(d, 9)) for a, b, d, most in pairs if 0.4 < d <= most)
+    # Rows of atoms were copied to 27 cells and sorted there before.
+    assert "atom_2" not in df._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)[1]
