@@ -304,7 +304,8 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], params: TopK
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (out_q, out_x, out_s)], names=["query_id", "vec_id", "score"])
 
-    pairs = asked.select("cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).join(blocks.select("cell", "ids", "vectors"), "cell")
+    # Spark takes a payload for some hundred bytes, so without the hint it would broadcast the queries' blocks, however many there are.
+    pairs = asked.select("cell", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).hint("merge").join(blocks.select("cell", "ids", "vectors").hint("merge"), "cell")
     found = pairs.select("q_ids", "q_vectors", "ids", "vectors").mapInArrow(match, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= params.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
