@@ -82,3 +82,21 @@ def test_bonds_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
     assert sorted((r.atom_1, r.atom_2, round(r.distance, 9)) for r in df.collect()) == sorted((a, b, round(d, 9)) for a, b, d, most in pairs if 0.4 < d <= most)
     # Rows of atoms were copied to 27 cells and sorted there before.
     assert "atom_2" not in df._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)[1]
+
+
+def test_bonds_of_copies_come_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(biologics, "BLOCK", 64)
+    rng = random.Random(13)
+    places = [tuple(rng.uniform(0, 2) for _ in range(3)) for _ in range(30)]
+    rows = [(i + 30 * k, *p, 0.5) for k in range(20) for i, p in enumerate(places)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = biologics.inferred_bonds(spark.createDataFrame(rows, "atom long, x double, y double, z double, covalent double")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    pairs = [(a[0], b[0], math.dist(a[1:4], b[1:4])) for a in rows for b in rows if a[0] < b[0]]
+    assert sorted((r.atom_1, r.atom_2, round(r.distance, 9)) for r in got) == sorted((a, b, round(d, 9)) for a, b, d in pairs if 0.4 < d <= 1.45)
+    # Output files, which grow with the square, held like distances apart before and took more room.
+    changes = sum(abs(a.distance - b.distance) > 1e-9 for a, b in zip(got, got[1:], strict=False))
+    assert changes < len(got) / 3
